@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import linededup, oracles, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +17,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.keep_bitmaps(table(spark, sf_dir, "documents"))
+    kept = F.sha2(linededup.cut("text", "bitmap"), 256)
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
 QUERIES = {
     "op4_simhash": op4_simhash,
+    "op10_line_dedup": op10_line_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
