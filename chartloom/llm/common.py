@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +33,17 @@ def id_of(key: str = "id") -> Column:
     return F.nullif(F.col(key), F.lit(NULL_ID))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Spark send Python short batches, whatever the length of texts, unless the session says otherwise."""
+    for name, default, value in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", None, "8m")):
+        held = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if held == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id`` (long, never null) and ``text`` (UTF-8 bytes, never null) of every row."""
+    bound_batches(df.sparkSession)
     return df.select(key_of(df, id_col).alias("id"), F.coalesce(df[text_col].cast("binary"), F.lit(b"")).alias("text"))
 
 
@@ -45,7 +55,7 @@ def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose binary ``column`` holds about ``most`` bytes at most (one row at least)."""
     start, held = 0, 0
-    for i, n in enumerate(map(len, batch.column(column).to_pylist())):
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
         if held and held + n > most:
             yield batch.slice(start, i - start)
             start, held = i, 0

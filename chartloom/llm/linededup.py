@@ -18,6 +18,7 @@ empty result. Positions of a text are bounded by its own length.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from itertools import compress
@@ -30,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, id_of, keyed, partitions, record
+from .common import Scratch, id_of, keyed, partitions, record, slices
 
 LEAST = 10
 FIELDS = ("kind", "h1", "h2", "id", "th", "pos")
 SCHEMA = "kind int, h1 long, h2 long, id long, th long, pos int"
 DROP, UNDECIDED, SEEN = 0, 1, 2
+NAMES = ("id", "n_lines", "n_dropped", "bitmap", "kept_sha256")
 
 
 def line_key(line: bytes) -> bytes:
@@ -126,30 +128,31 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return drops.groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
 
 
-def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n_lines, n_dropped, maps = [], [], []
-        for text, drops in zip(b.column(1), b.column(2), strict=True):
-            keep = np.ones(text.as_py().count(b"\n") + 1, dtype=bool)
-            keep[drops.as_py() or []] = False
-            n_lines.append(len(keep))
-            n_dropped.append(len(keep) - int(keep.sum()))
-            maps.append(pack(keep))
-        yield record(("id", "text", "n_lines", "n_dropped", "bitmap"), b.column(0), b.column(1), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(maps, pa.binary()))
-
-
-def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """``(id, text, n_lines, n_dropped, bitmap)`` of every row; ``text`` is the input's, as bytes."""
-    drops = dropped_lines(docs, id_col, text_col, least)
-    rows = keyed(docs, id_col, text_col).join(drops, ["id", "th"], "left").select("id", "text", "drops")
-    return rows.mapInArrow(_bitmaps, "id long, text binary, n_lines long, n_dropped long, bitmap binary").withColumn("id", id_of())
+def _bitmaps(digest: bool):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 1):
+                n_lines, n_dropped, maps, digests = [], [], [], []
+                for text, drops in zip(b.column(1), b.column(2), strict=True):
+                    text = text.as_py()
+                    keep = np.ones(text.count(b"\n") + 1, dtype=bool)
+                    keep[drops.as_py() or []] = False
+                    n_lines.append(len(keep))
+                    n_dropped.append(len(keep) - int(keep.sum()))
+                    maps.append(pack(keep))
+                    if digest:
+                        digests.append(hashlib.sha256(apply_bitmap(text, maps[-1])).hexdigest())
+                yield record(NAMES[: 4 + digest], b.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(maps, pa.binary()), *([pa.array(digests, pa.string())] if digest else []))
 
+    return work
 
-@F.pandas_udf(T.BinaryType())
-def cut(text, bitmap):
-    import pandas as pd
 
-    return pd.Series([apply_bitmap(t, m) for t, m in zip(text, bitmap, strict=True)], dtype=object)
+def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, digest: bool = False) -> DataFrame:
+    """``(id, n_lines, n_dropped, bitmap)`` of every row; with ``digest`` also ``kept_sha256`` of the text that
+    ``apply_bitmap`` leaves."""
+    drops = dropped_lines(docs, id_col, text_col, least)
+    rows = keyed(docs, id_col, text_col).join(drops, ["id", "th"], "left").select("id", "text", "drops")
+    return rows.mapInArrow(_bitmaps(digest), "id long, n_lines long, n_dropped long, bitmap binary" + ", kept_sha256 string" * digest).withColumn("id", id_of())
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:

@@ -24,9 +24,8 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.keep_bitmaps(table(spark, sf_dir, "documents"))
-    kept = F.sha2(linededup.cut("text", "bitmap"), 256)
-    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", kept.alias("kept_sha256"))
+    found = linededup.keep_bitmaps(table(spark, sf_dir, "documents"), digest=True)
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", "kept_sha256")
 
 
 QUERIES = {
