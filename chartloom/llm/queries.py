@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, oracles, quality, simhash, tokencount
+from . import bytebpe, linededup, oracles, quality, simhash, tokencount
 
 
 def vocabulary(name: str) -> str:
@@ -35,6 +35,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def pattern() -> str:
+    """What splits a text before the merges of the rank files."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bytebpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), pattern())
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.keep_bitmaps(table(spark, sf_dir, "documents"), digest=True)
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", "kept_sha256")
@@ -44,6 +56,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_token_counts": op3_token_counts,
     "op4_simhash": op4_simhash,
+    "op8_byte_bpe": op8_byte_bpe,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = oracles.ORACLES
