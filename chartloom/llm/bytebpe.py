@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import id_of, record, slices, texts
-from .words import Words
+from .words import Words, spelt
 
 #: Words remembered by a worker (twice as many at most), bytes of words given to DuckDB at once, longest word to contract pair by pair.
 WORDS, BLOCK, LONG = 250_000, 1 << 17, 96
@@ -107,8 +107,8 @@ class Vocabulary:
                 self.together[t[i - 1] << 8 | t[i]] = True
                 if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None:
                     merges.append((a, b, r))
-        self.words = Words(pattern, self.resolve, most)
-        self.odd: dict[str, bytes] = {}  # what ids of a part decode to, where that isn't the part itself
+        self.find = spelt(pattern).findall
+        self.words = Words(lambda words: self.resolve([f" {w}" for w in words]), self.resolve, most)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False})
         a, b, tok = (pa.array(c, pa.int32()) for c in zip(*merges, strict=True))
         given = pa.table({"a": a, "b": b, "tok": tok})  # noqa: F841  DuckDB finds it by its name
@@ -151,19 +151,17 @@ class Vocabulary:
         return out | {p: (b" ".join(out[x][0] for x in xs), b"".join(out[x][1] for x in xs)) for p, xs in parts.items()}
 
     def resolve(self, asked: list[str]) -> list[bytes]:
-        find = self.words.pattern.findall
-        split = [[p.encode() for p in find(w)] for w in asked]
+        """Ids of each string, as decimals joined by spaces."""
+        split = [[p.encode() for p in self.find(w)] for w in asked]
         done = self.encode({p for ps in split for p in ps})
         for w, ps in zip(asked, split, strict=True):
-            if (decoded := b"".join([done[p][1] for p in ps])) != w.encode():
-                self.odd[w] = decoded
+            if b"".join([done[p][1] for p in ps]) != w.encode():
+                raise ValueError(f"the ids of {w!r} decode to something else")
         return [done[ps[0]][0] if len(ps) == 1 else b" ".join([done[p][0] for p in ps]) for ps in split]
 
     def texts(self, raw: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """Ids and decoded bytes of each text. Parts' bytes follow each other, so a text decodes to its parts'."""
+        """Ids and decoded bytes of each text: ``resolve`` has seen that each part decodes to itself."""
         for t, values in zip(raw, self.words.values(raw), strict=True):
-            if self.odd:
-                raise ValueError(f"ids that don't decode to their text: {self.odd}")
             yield b" ".join(values), t.encode()
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, linededup, oracles, quality, simhash, tokencount
+from . import bytebpe, linededup, oracles, quality, simhash, tokencount, tokenfile
+from .common import Scratch
 
 
 def vocabulary(name: str) -> str:
@@ -35,6 +36,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark, 'tokens').root}/ids"
+    tokenfile.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), path)
+    return tokenfile.read(spark, path).withColumnRenamed("id", "doc_id")
+
+
 def pattern() -> str:
     """What splits a text before the merges of the rank files."""
     import public_tokenizers
@@ -56,6 +63,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_token_counts": op3_token_counts,
     "op4_simhash": op4_simhash,
+    "op6_token_file": op6_token_file,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_line_dedup": op10_line_dedup,
 }

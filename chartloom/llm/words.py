@@ -1,7 +1,8 @@
 """Cutting texts at spaces, and remembering what was worked out for each word.
 
 Byte-level BPE splits a text by a pattern whose matches hold a space only in front or in a run of white
-space. So where no two spaces meet, each space may begin a part: the parts' matches are the text's.
+space. So each space with another character than white space before it may begin a part: the parts' matches
+are the text's. Texts with any other space, or other white space than newlines, are left whole.
 """
 
 from __future__ import annotations
@@ -10,39 +11,38 @@ from collections.abc import Callable
 
 import regex
 
-#: White space as the pattern's \\s means it, spelt out because regex libraries differ.
-SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: White space by Unicode, as the pattern's \\s means it; spelt out because regex libraries differ.
+OTHER_SPACE = "".join(map(chr, [0x9, 0xB, 0xC, 0xD, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def spelt(pattern: str) -> regex.Pattern:
-    return regex.compile(pattern.replace(r"\s\p", f"{SPACE}\\p").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
+    space = OTHER_SPACE + r" \n"
+    return regex.compile(pattern.replace(r"\s\p", f"{space}\\p").replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]"))
+
+
+def plain(text: str) -> bool:
+    """Whether the text may be cut in front of each of its spaces."""
+    return "  " not in text and "\n " not in text and not any(c in text for c in OTHER_SPACE)
 
 
 class Words:
-    """``resolve`` gives the value of each of a list of parts; values of words after a space are remembered.
+    """``resolve`` gives the values of a list of words that follow a space; they are remembered.
 
-    Two generations of at most ``most`` words are held; words not met during the last one are forgotten.
+    ``whole`` gives the values of a list of texts as they are. Two generations of at most ``most`` words are held; words
+    not met during the last one are forgotten.
     """
 
-    def __init__(self, pattern: str, resolve: Callable[[list[str]], list[bytes]], most: int):
-        self.pattern, self.resolve, self.most = spelt(pattern), resolve, most
+    def __init__(self, resolve: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], list[bytes]], most: int, special: tuple[str, ...] = ()):
+        self.resolve, self.whole, self.most, self.special = resolve, whole, most, special
         self.met: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def values(self, texts: list[str]) -> list[list[bytes]]:
         """For each text the values of its parts, in order."""
-        split: list[tuple[list[str], list[str]]] = []  # parts as they are, then words that follow a space each
+        split = [t.split(" ") if plain(t) and not any(s in t for s in self.special) else [t] for t in texts]
         words: set[str] = set()
-        parts: set[str] = set()
-        for t in texts:
-            ws = t.split(" ")
-            if "" in ws[1:-1]:
-                split.append((self.pattern.findall(t), []))
-                parts.update(split[-1][0])
-            else:
-                split.append((ws[:1] if ws[0] else [], ws[1:]))
-                parts.update(split[-1][0])
-                words.update(split[-1][1])
+        for ws in split:
+            words.update(ws[1:])
         if len(self.met) > self.most:
             self.met, self.old = {}, self.met
         met, old = self.met, self.old
@@ -50,10 +50,8 @@ class Words:
         for w in new.intersection(old):
             met[w] = old[w]
         new.difference_update(met)
-        ask = [f" {w}" for w in new]
-        first = {p: met[p[1:]] for p in parts if p[:1] == " " and p[1:] in met}
-        rest = [p for p in parts if p not in first]
-        got = self.resolve(ask + rest)
-        met.update(zip(new, got, strict=False))
-        first.update(zip(rest, got[len(ask) :], strict=True))
-        return [[first[p] for p in ps] + list(map(met.__getitem__, ws)) for ps, ws in split]
+        ask = list(new)
+        met.update(zip(ask, self.resolve(ask), strict=True))
+        begin = list({ws[0] for ws in split if ws[0]})
+        first = dict(zip(begin, self.whole(begin), strict=True))
+        return [([first[ws[0]]] if ws[0] else []) + list(map(met.__getitem__, ws[1:])) for ws in split]
