@@ -31,7 +31,7 @@ from .common import id_of, record, slices, texts
 from .words import Words, spelt
 
 #: Words remembered by a worker (twice as many at most), bytes of words given to DuckDB at once, longest word to contract pair by pair.
-WORDS, BLOCK, LONG = 250_000, 1 << 17, 96
+WORDS, BLOCK, LONG = 700_000, 1 << 17, 96
 
 #: Positions of a word stay 0, 1, ... A row knows the next row's token; ``pair`` has what the two would make
 #: above its position, so that the least one is the leftmost of least rank.
