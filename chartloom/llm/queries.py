@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, linededup, oracles, quality, simhash, tokencount, tokenfile
+from . import bytebpe, linededup, oracles, quality, repetition, simhash, tokencount, tokenfile
 from .common import Scratch
 
 
@@ -42,6 +42,11 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, path).withColumnRenamed("id", "doc_id")
 
 
+def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repetition.rules(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def pattern() -> str:
     """What splits a text before the merges of the rank files."""
     import public_tokenizers
@@ -64,6 +69,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_simhash": op4_simhash,
     "op6_token_file": op6_token_file,
+    "op7_repetition": op7_repetition,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_line_dedup": op10_line_dedup,
 }
