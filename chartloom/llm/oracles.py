@@ -21,6 +21,27 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+OP9 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark
+), k AS (
+  SELECT DISTINCT least(5, len(w)) AS k FROM b WHERE len(w) > 0
+), ds AS (
+  SELECT DISTINCT doc_id, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS s FROM d, k WHERE len(w) >= k
+), bs AS (
+  SELECT DISTINCT item_id, least(5, len(w)) AS k, unnest([array_to_string(w[i:i + least(5, len(w)) - 1], ' ') FOR i IN range(1, len(w) - least(5, len(w)) + 2)]) AS s FROM b WHERE len(w) > 0
+), n AS (
+  SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id
+), c AS (
+  SELECT ds.doc_id, bs.item_id, count(*) AS n_shared FROM bs JOIN ds ON bs.s = ds.s AND bs.k = ds.k GROUP BY ALL
+)
+SELECT doc_id, c.item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
+FROM c JOIN n ON c.item_id = n.item_id WHERE 5 * n_shared >= 4 * n_shingles
+"""
+
 ORACLES: dict[str, str] = {
+    "op9_decontamination": OP9,
     "op10_line_dedup": OP10,
 }

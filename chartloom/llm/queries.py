@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, linededup, oracles, quality, repetition, simhash, tokencount, tokenfile
+from . import bytebpe, contamination, linededup, oracles, quality, repetition, simhash, tokencount, tokenfile
 from .common import Scratch
 
 
@@ -59,6 +59,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.keep_bitmaps(table(spark, sf_dir, "documents"), digest=True)
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", "kept_sha256")
@@ -71,6 +76,7 @@ QUERIES = {
     "op6_token_file": op6_token_file,
     "op7_repetition": op7_repetition,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = oracles.ORACLES
