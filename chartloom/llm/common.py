@@ -98,7 +98,13 @@ class Scratch:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the table that was written."""
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        conf, key = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        held = conf.get(key, "false")
+        conf.set(key, "true")  # the shuffles of this write are of no use after it
+        try:
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        finally:
+            conf.set(key, held)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:

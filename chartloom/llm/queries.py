@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, contamination, linededup, oracles, quality, repetition, simhash, tokencount, tokenfile
+from . import bytebpe, contamination, linededup, oracles, quality, repetition, simhash, substrings, tokencount, tokenfile
 from .common import Scratch
 
 
@@ -36,6 +36,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeated(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Scratch(spark, 'tokens').root}/ids"
     tokenfile.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), path)
@@ -73,6 +77,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_token_counts": op3_token_counts,
     "op4_simhash": op4_simhash,
+    "op5_repeated_substrings": op5_repeated_substrings,
     "op6_token_file": op6_token_file,
     "op7_repetition": op7_repetition,
     "op8_byte_bpe": op8_byte_bpe,
