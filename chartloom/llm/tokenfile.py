@@ -28,7 +28,7 @@ from .common import id_of, partitions, record, slices, texts
 from .words import Words
 
 #: Ids at which a block is closed, words that a worker remembers, and the id after each document.
-IDS, WORDS, END = 1 << 16, 300_000, 0
+IDS, WORDS, END = 1 << 16, 400_000, 0
 NAMES = ("part", "block", "before", "n_ids", "ids", "payload")
 SCHEMA = "part int, block int, before long, n_ids long, ids array<long>, payload binary"
 
@@ -57,15 +57,16 @@ class Encoder:
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Encoded as one text, a space before each word; a token with a space in front begins the next word."""
-        odd = {w: self._whole([f" {w}"])[0] for w in words if not w or w[-1] == "\n"}
-        usual = [w for w in words if w not in odd]
-        ids = self._ids([" " + " ".join(usual)])[0] if usual else np.empty(0, self.kind)
+        odd = {i: self._whole([f" {w}"])[0] for i, w in enumerate(words) if not w or w[-1] == "\n"}
+        usual = [w for i, w in enumerate(words) if i not in odd] if odd else words
+        lines = [" " + " ".join(usual[i : i + 200]) for i in range(0, len(usual), 200)]
+        ids = np.concatenate([np.empty(0, self.kind), *self._ids(lines)])
         at = [*(np.flatnonzero(self.begins[ids]) * self.kind.itemsize).tolist(), ids.nbytes]
         if len(at) != len(usual) + 1:
             raise ValueError("this vocabulary doesn't keep spaces in front of words")
         data = ids.tobytes()
-        values = dict(zip(usual, (data[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True)) | odd
-        return [values[w] for w in words]
+        values = iter([data[a:b] for a, b in zip(at, at[1:], strict=False)])
+        return [odd[i] if i in odd else next(values) for i in range(len(words))] if odd else list(values)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(b"".join(v), dtype=self.kind) for v in self.words.values(texts)]

@@ -7,7 +7,7 @@ are the text's. Texts with any other space, or other white space than newlines,
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import regex
 
@@ -25,33 +25,59 @@ def plain(text: str) -> bool:
     return "  " not in text and "\n " not in text and not any(c in text for c in OTHER_SPACE)
 
 
+class _Met(dict):
+    """A number for each word met, and its value in ``known``, as soon as that is worked out."""
+
+    def __init__(self, before: _Met | None = None):
+        super().__init__()
+        self.known: list[bytes | None] = []
+        self.new: list[str] = []  # words without a value, and their numbers
+        self.holes: list[int] = []
+        self.before, self.known_before = ({}, []) if before is None else (before, before.known)
+        if before is not None:  # what it remembered in turn goes
+            before.before, before.known_before = {}, []
+
+    def __missing__(self, word: str) -> int:
+        i = self[word] = len(self)
+        if (j := self.before.get(word)) is None:
+            self.new.append(word)
+            self.holes.append(i)
+            self.known.append(None)
+        else:
+            self.known.append(self.known_before[j])
+        return i
+
+
 class Words:
     """``resolve`` gives the values of a list of words that follow a space; they are remembered.
 
-    ``whole`` gives the values of a list of texts as they are. Two generations of at most ``most`` words are held; words
-    not met during the last one are forgotten.
+    ``whole`` gives the values of a list of texts as they are. Two generations of about ``most`` words are
+    held; words not met during the last one are forgotten.
     """
 
     def __init__(self, resolve: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], list[bytes]], most: int, special: tuple[str, ...] = ()):
         self.resolve, self.whole, self.most, self.special = resolve, whole, most, special
-        self.met: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.met = _Met()
 
-    def values(self, texts: list[str]) -> list[list[bytes]]:
+    def values(self, texts: list[str]) -> Iterator[list[bytes]]:
         """For each text the values of its parts, in order."""
-        split = [t.split(" ") if plain(t) and not any(s in t for s in self.special) else [t] for t in texts]
-        words: set[str] = set()
-        for ws in split:
-            words.update(ws[1:])
         if len(self.met) > self.most:
-            self.met, self.old = {}, self.met
-        met, old = self.met, self.old
-        new = words.difference(met)
-        for w in new.intersection(old):
-            met[w] = old[w]
-        new.difference_update(met)
-        ask = list(new)
-        met.update(zip(ask, self.resolve(ask), strict=True))
-        begin = list({ws[0] for ws in split if ws[0]})
-        first = dict(zip(begin, self.whole(begin), strict=True))
-        return [([first[ws[0]]] if ws[0] else []) + list(map(met.__getitem__, ws[1:])) for ws in split]
+            self.met = _Met(self.met)
+        met, known, number = self.met, self.met.known, self.met.__getitem__
+        first, rest = [], []
+        for t in texts:
+            if plain(t) and not any(s in t for s in self.special):
+                words = t.split(" ")
+                first.append(words[0])
+                rest.append(list(map(number, words[1:])))
+            else:
+                first.append(t)
+                rest.append([])
+        for i, value in zip(met.holes, self.resolve(met.new), strict=True):
+            known[i] = value
+        met.new, met.holes = [], []
+        begin = list({t for t in first if t})
+        begun = dict(zip(begin, self.whole(begin), strict=True))
+        for t, numbers in zip(first, rest, strict=True):
+            values = list(map(known.__getitem__, numbers))
+            yield [begun[t], *values] if t else values
