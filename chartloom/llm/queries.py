@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, contamination, linededup, oracles, quality, repetition, simhash, substrings, tokencount, tokenfile
+from . import bytebpe, contamination, linededup, oracles, quality, repetition, simhash, substrings, surrogates, tokencount, tokenfile
 from .common import Scratch
 
 
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = quality.scores(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
@@ -74,6 +78,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_surrogates": op1_surrogates,
     "op2_quality": op2_quality,
     "op3_token_counts": op3_token_counts,
     "op4_simhash": op4_simhash,
