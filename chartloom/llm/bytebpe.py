@@ -108,7 +108,7 @@ class Vocabulary:
                 if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None:
                     merges.append((a, b, r))
         self.find = spelt(pattern).findall
-        self.words = Words(lambda words: self.resolve([f" {w}" for w in words]), self.resolve, most)
+        self.words = Words(self.resolve, b" ", most)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False})
         a, b, tok = (pa.array(c, pa.int32()) for c in zip(*merges, strict=True))
         given = pa.table({"a": a, "b": b, "tok": tok})  # noqa: F841  DuckDB finds it by its name
@@ -162,7 +162,7 @@ class Vocabulary:
     def texts(self, raw: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Ids and decoded bytes of each text: ``resolve`` has seen that each part decodes to itself."""
         for t, values in zip(raw, self.words.values(raw), strict=True):
-            yield b" ".join(values), t.encode()
+            yield b" ".join(filter(None, values)), t.encode()
 
 
 _VOCABULARIES: dict[tuple[str, str], Vocabulary] = {}

@@ -28,7 +28,7 @@ from .common import id_of, partitions, record, slices, texts
 from .words import Words
 
 #: Ids at which a block is closed, words that a worker remembers, and the id after each document.
-IDS, WORDS, END = 1 << 16, 400_000, 0
+IDS, WORDS, END = 1 << 16, 500_000, 0
 NAMES = ("part", "block", "before", "n_ids", "ids", "payload")
 SCHEMA = "part int, block int, before long, n_ids long, ids array<long>, payload binary"
 
@@ -47,26 +47,24 @@ class Encoder:
         for token, i in self.library.get_vocab().items():
             self.begins[i] = token.startswith("Ġ")
         special = tuple(str(t.content) for t in self.library.get_added_tokens_decoder().values())
-        self.words = Words(self._words, self._whole, most, special)
+        self.words = Words(self._values, b"", most, special)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, dtype=self.kind) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [ids.tobytes() for ids in self._ids(texts)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Encoded as one text, a space before each word; a token with a space in front begins the next word."""
-        odd = {i: self._whole([f" {w}"])[0] for i, w in enumerate(words) if not w or w[-1] == "\n"}
-        usual = [w for i, w in enumerate(words) if i not in odd] if odd else words
-        lines = [" " + " ".join(usual[i : i + 200]) for i in range(0, len(usual), 200)]
-        ids = np.concatenate([np.empty(0, self.kind), *self._ids(lines)])
+    def _values(self, asked: list[str]) -> list[bytes]:
+        """Words with a space in front are encoded as texts of many words: a token that begins with a space begins the next one."""
+        usual = [w for w in asked if w[0] == " " and w.find(" ", 1) < 0 and not w[-1].isspace()]
+        runs = ["".join(usual[i : i + 200]) for i in range(0, len(usual), 200)]
+        ids = np.concatenate([np.empty(0, self.kind), *self._ids(runs)])
         at = [*(np.flatnonzero(self.begins[ids]) * self.kind.itemsize).tolist(), ids.nbytes]
         if len(at) != len(usual) + 1:
             raise ValueError("this vocabulary doesn't keep spaces in front of words")
         data = ids.tobytes()
-        values = iter([data[a:b] for a, b in zip(at, at[1:], strict=False)])
-        return [odd[i] if i in odd else next(values) for i in range(len(words))] if odd else list(values)
+        values = dict(zip(usual, [data[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+        rest = [w for w in asked if w not in values]
+        values.update(zip(rest, (i.tobytes() for i in self._ids(rest)), strict=True))
+        return [values[w] for w in asked]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(b"".join(v), dtype=self.kind) for v in self.words.values(texts)]

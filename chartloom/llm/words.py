@@ -1,18 +1,23 @@
-"""Cutting texts at spaces, and remembering what was worked out for each word.
+"""Cutting texts where byte-level BPE does, and remembering what was worked out for each part.
 
-Byte-level BPE splits a text by a pattern whose matches hold a space only in front or in a run of white
-space. So each space with another character than white space before it may begin a part: the parts' matches
-are the text's. Texts with any other space, or other white space than newlines, are left whole.
+The pattern that splits a text before the merges has matches that hold a space only in front or in a run of
+white space. So each space with another character than white space on both sides begins a part, and a run
+of newlines between such characters is cut off (all but its last newline first, as the pattern does). What
+ends in a letter and a mark is cut before the mark. Texts with other white space, or spaces beside spaces or
+newlines, are left whole.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import regex
 
 #: White space by Unicode, as the pattern's \\s means it; spelt out because regex libraries differ.
 OTHER_SPACE = "".join(map(chr, [0x9, 0xB, 0xC, 0xD, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+MARKS = frozenset(".,;:!?")
+_NEWLINES = re.compile("(\n+)")
 
 
 def spelt(pattern: str) -> regex.Pattern:
@@ -21,63 +26,104 @@ def spelt(pattern: str) -> regex.Pattern:
 
 
 def plain(text: str) -> bool:
-    """Whether the text may be cut in front of each of its spaces."""
-    return "  " not in text and "\n " not in text and not any(c in text for c in OTHER_SPACE)
+    """Whether the text may be cut at its spaces and newlines."""
+    return "  " not in text and "\n " not in text and " \n" not in text and not any(c in text for c in OTHER_SPACE)
+
+
+def parts(text: str) -> list[str]:
+    """The parts of a plain text; a part without a space in front has a newline there instead."""
+    out = []
+    lines = _NEWLINES.split(text) if "\n" in text else [text]
+    for i, line in enumerate(lines):
+        if i % 2:
+            if not lines[i + 1]:
+                out.append("\n" + line)
+            else:
+                out += ["\n" + line[:-1], "\n\n"] if len(line) > 1 else ["\n\n"]
+        elif line:
+            words = line.split(" ")
+            if words[0]:
+                words[0] = "\n" + words[0]
+            else:
+                del words[0]
+            out += words
+    return out
+
+
+def spelling(part: str) -> str:
+    return part[1:] if part[:1] == "\n" else f" {part}"
 
 
 class _Met(dict):
-    """A number for each word met, and its value in ``known``, as soon as that is worked out."""
+    """A number for each part met, and its value in ``known``, as soon as that is worked out."""
 
     def __init__(self, before: _Met | None = None):
         super().__init__()
         self.known: list[bytes | None] = []
-        self.new: list[str] = []  # words without a value, and their numbers
-        self.holes: list[int] = []
+        self.new: list[str] = []  # parts without a value
         self.before, self.known_before = ({}, []) if before is None else (before, before.known)
         if before is not None:  # what it remembered in turn goes
             before.before, before.known_before = {}, []
 
-    def __missing__(self, word: str) -> int:
-        i = self[word] = len(self)
-        if (j := self.before.get(word)) is None:
-            self.new.append(word)
-            self.holes.append(i)
+    def __missing__(self, part: str) -> int:
+        i = self[part] = len(self.known)
+        if (j := self.before.get(part)) is None:
+            self.new.append(part)
             self.known.append(None)
         else:
             self.known.append(self.known_before[j])
         return i
 
+    def _value_before(self, part: str) -> bytes | None:
+        return None if (j := self.before.get(part)) is None else self.known_before[j]
+
+    def value(self, part: str) -> bytes | None:
+        return self._value_before(part) if (i := self.get(part)) is None else self.known[i]
+
 
 class Words:
-    """``resolve`` gives the values of a list of words that follow a space; they are remembered.
+    """``resolve`` gives the values of a list of strings; those of parts are remembered.
 
-    ``whole`` gives the values of a list of texts as they are. Two generations of about ``most`` words are
-    held; words not met during the last one are forgotten.
+    A part's value may be put together from its pieces' values with ``glue``. Two generations of about
+    ``most`` parts are held; parts not met during the last one are forgotten.
     """
 
-    def __init__(self, resolve: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], list[bytes]], most: int, special: tuple[str, ...] = ()):
-        self.resolve, self.whole, self.most, self.special = resolve, whole, most, special
+    def __init__(self, resolve: Callable[[list[str]], list[bytes]], glue: bytes, most: int, special: tuple[str, ...] = ()):
+        self.resolve, self.glue, self.most, self.special = resolve, glue, most, special
         self.met = _Met()
 
+    def _learn(self) -> None:
+        """Values for all new parts, marks at their ends cut off."""
+        met, new = self.met, self.met.new
+        ask, cut, bases = [], [], set()
+        for p in new:
+            if p[-1:] in MARKS and p[-2:-1].isalpha():
+                cut.append(p)
+                bases.add(p[:-1])
+            else:
+                ask.append(p)
+        value = {b: met.value(b) for b in bases}
+        value |= {m: met.value(m) for m in {"\n" + p[-1] for p in cut}}
+        beside = [q for q, v in value.items() if v is None and q not in met]
+        got = self.resolve([spelling(p) for p in ask + beside])
+        for p, v in zip(ask, got, strict=False):
+            met.known[met[p]] = v
+        value.update(zip(beside, got[len(ask) :], strict=True))
+        glue = self.glue
+        for p in cut:
+            b, m = p[:-1], "\n" + p[-1]
+            met.known[met[p]] = (value[b] or met.value(b)) + glue + (value[m] or met.value(m))
+        met.new = []
+
     def values(self, texts: list[str]) -> Iterator[list[bytes]]:
         """For each text the values of its parts, in order."""
         if len(self.met) > self.most:
             self.met = _Met(self.met)
-        met, known, number = self.met, self.met.known, self.met.__getitem__
-        first, rest = [], []
-        for t in texts:
-            if plain(t) and not any(s in t for s in self.special):
-                words = t.split(" ")
-                first.append(words[0])
-                rest.append(list(map(number, words[1:])))
-            else:
-                first.append(t)
-                rest.append([])
-        for i, value in zip(met.holes, self.resolve(met.new), strict=True):
-            known[i] = value
-        met.new, met.holes = [], []
-        begin = list({t for t in first if t})
-        begun = dict(zip(begin, self.whole(begin), strict=True))
-        for t, numbers in zip(first, rest, strict=True):
-            values = list(map(known.__getitem__, numbers))
-            yield [begun[t], *values] if t else values
+        number, known = self.met.__getitem__, self.met.known
+        whole = {t for t in texts if not plain(t) or any(s in t for s in self.special)}
+        numbers = [None if t in whole else list(map(number, parts(t))) for t in texts]
+        self._learn()
+        odd = list(whole)
+        resolved = dict(zip(odd, self.resolve(odd), strict=True))
+        for t, ns in zip(texts, numbers, strict=True):
+            yield [resolved[t]] if ns is None else list(map(known.__getitem__, ns))
