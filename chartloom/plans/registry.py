@@ -1,6 +1,7 @@
-"""Name -> query and name -> DuckDB SQL, gathered from the operator modules."""
+"""Name -> query and name -> DuckDB SQL of all registered queries."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
