@@ -21,7 +21,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, id_of, record, signed, texts
@@ -71,7 +71,11 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) ->
         raise ValueError("more segments are needed for this distance")
     part = [F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1) if segments > 1 else F.col("fp") for a, b in zip(edges, edges[1:], strict=False)]
     stored = fps.select(F.col("fp").alias("v"), F.posexplode(F.array(*part)).alias("segment", "part"))
-    probes = F.array(*(F.transform(F.array(*(F.lit(m) for m in ball(b - a, distance // segments))), lambda m, p=p: p.bitwiseXOR(m)) for p, a, b in zip(part, edges, edges[1:], strict=False)))
+
+    def around(p: Column, width: int) -> Column:
+        return F.transform(F.array(*(F.lit(signed(m)).cast("long") for m in ball(width, distance // segments))), lambda m: p.bitwiseXOR(m))
+
+    probes = F.array(*(around(p, b - a) for p, a, b in zip(part, edges, edges[1:], strict=False)))
     probing = fps.select(F.col("fp").alias("u"), F.posexplode(probes).alias("segment", "near")).select("u", "segment", F.explode("near").alias("part"))
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance
     return probing.join(stored, (probing.segment == stored.segment) & (probing.part == stored.part) & (F.col("u") < F.col("v")) & near).select("u", "v")
