@@ -1,6 +1,6 @@
 """Token-id files: texts encoded, laid down in ascending id order as Simple-8b blocks, and read back.
 
-Documents are range-partitioned by id and sorted, so part k of the file holds smaller ids than part k + 1;
+Documents are dealt by ranges of ids and sorted, so part k of the file holds smaller ids than part k + 1;
 each task encodes its texts in order and closes a block at ``IDS`` ids. A block is a row of the table that
 Spark's own writer commits: part, block, ids of the part before it, ids in it, the documents' ids and the
 payload of ``simple8b``. So a lost executor's task is simply run again, and any store that Spark writes to
@@ -28,7 +28,7 @@ from .common import id_of, partitions, record, slices, texts
 from .words import Words
 
 #: Ids at which a block is closed, words that a worker remembers, and the id after each document.
-IDS, WORDS, END = 1 << 16, 500_000, 0
+IDS, WORDS, END = 1 << 16, 700_000, 0
 NAMES = ("part", "block", "before", "n_ids", "ids", "payload")
 SCHEMA = "part int, block int, before long, n_ids long, ids array<long>, payload binary"
 
@@ -105,7 +105,11 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = END, id_col: st
             yield close()
 
     rows = texts(docs, id_col, text_col)
-    ranged = rows.repartitionByRange(partitions(docs.sparkSession), "id").sortWithinPartitions("id", "text")
+    n = partitions(docs.sparkSession)
+    # range bounds from the ids alone: a range partitioning by Spark would read the texts to sample them
+    bounds = rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else None
+    part = F.size(F.filter(F.lit(sorted(set(bounds))), lambda b: b < F.col("id"))) if bounds else F.lit(0)
+    ranged = rows.repartitionById(n, part).sortWithinPartitions("id", "text")
     ranged.mapInArrow(work, SCHEMA).write.option("compression", "none").mode("overwrite").parquet(path)
 
 

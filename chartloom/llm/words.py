@@ -27,7 +27,7 @@ def spelt(pattern: str) -> regex.Pattern:
 
 def plain(text: str) -> bool:
     """Whether the text may be cut at its spaces and newlines."""
-    return "  " not in text and "\n " not in text and " \n" not in text and not any(c in text for c in OTHER_SPACE)
+    return "  " not in text and "\n " not in text and " \n" not in text and not any(c in text for c in (OTHER_SPACE[:4] if text.isascii() else OTHER_SPACE))
 
 
 def parts(text: str) -> list[str]:
