@@ -144,7 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "id").select("id", "text", "y").mapInArrow(work, "id long, y int, x array<double>")
     got = sorted(map(tuple, rows.dropDuplicates(["id"]).collect()), key=lambda r: r[0])  # at most ``sample`` rows
-    return grow(np.array([r[2] for r in got], dtype=np.float64).reshape(len(got), -1), np.array([r[1] for r in got], dtype=np.float64))
+    return grow(np.array([r[2] for r in got], dtype=np.float64).reshape(len(got), len(FEATURES)), np.array([r[1] for r in got], dtype=np.float64))
 
 
 def held_out(key):
