@@ -67,13 +67,16 @@ def _suppress(detections: DataFrame, keys: list[str], iou: float, score: float)
     """Greedy by score: a box stays unless it overlaps one that stays by more than ``iou``."""
     kept = detections.where(F.col("score") > score) if score > 0 else detections
     carried = [c for c in ("class_id",) if c not in keys]
-    item = F.struct((-F.col("score")).alias("neg"), "det_ord", *BOX, *carried)
+    size = ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area")
+    item = F.struct((-F.col("score")).alias("neg"), "det_ord", *BOX, *carried, size)
     ordered = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("boxes"))
 
     def step(stay: Column, b: Column) -> Column:
-        inter = lambda k: scalars.intersection(k, b)
-        hit = F.exists(stay, lambda k: inter(k) > F.lit(iou) * (scalars.area(k) + scalars.area(b) - inter(k)))
-        return F.when(hit, stay).otherwise(F.concat(stay, F.array(b)))
+        def hit(k: Column) -> Column:  # cheap comparisons first: most boxes don't meet
+            meet = (k["x1"] < b["x2"]) & (b["x1"] < k["x2"]) & (k["y1"] < b["y2"]) & (b["y1"] < k["y2"])
+            return meet & (scalars.intersection(k, b) * F.lit(1 + iou) > F.lit(iou) * (k["area"] + b["area"]))
+
+        return F.when(F.exists(stay, hit), stay).otherwise(F.concat(stay, F.array(b)))
 
     folded = ordered.select(*keys, F.aggregate("boxes", F.slice("boxes", 1, 0), step).alias("boxes"))
     flat = folded.select(*keys, F.explode("boxes").alias("b"))

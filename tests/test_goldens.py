@@ -167,7 +167,7 @@ def loop_nms(boxes, iou):
     kept = []
     for b in sorted(boxes, key=lambda b: (-b[4], b[5])):
         inter = lambda k: max(0, min(k[2], b[2]) - max(k[0], b[0])) * max(0, min(k[3], b[3]) - max(k[1], b[1]))  # noqa: B023, E731
-        if all(inter(k) <= iou * (area(k) + area(b) - inter(k)) for k in kept):
+        if all(inter(k) * (1 + iou) <= iou * (area(k) + area(b)) for k in kept):
             kept.append(b)
     return {b[5] for b in kept}
 
