@@ -30,7 +30,7 @@ from .common import id_of, record, slices, texts
 #: Most labelled documents to learn from, and the parts of ids that are held out of learning.
 SAMPLE, FOLDS = 20_000, 5
 THRESHOLD = 0.3
-TREES, DEPTH, RATE, BINS, LEAST_HESSIAN, RIDGE = 80, 4, 0.15, 64, 5.0, 1.0
+TREES, DEPTH, RATE, BINS, LEAST_HESSIAN, RIDGE = 80, 4, 0.15, 64, 0.5, 1.0
 
 _CLASSES = {"space": b" \t\r\x0b\x0c", "newline": b"\n", "upper": bytes(range(65, 91)), "lower": bytes(range(97, 123)), "digit": b"0123456789", "stop": b".,;:!?", "symbol": b"#*$%&|<>", "other": b"\"'()[]{}=+-_/\\@^~`"}
 _TABLE = np.full(256, len(_CLASSES), dtype=np.uint8)  # the rest: control bytes and all beyond ASCII
