@@ -298,3 +298,24 @@ def test_empty_tables(spark, empty):
     assert substrings.remove_repeated(empty).count() == 0
     assert contamination.matches(empty, items).count() == 0 and contamination.keep_clean(empty, items).count() == 0
     assert surrogates.replace(empty).count() == 0
+
+
+# --- queries against their SQL
+
+
+@pytest.mark.parametrize("name", ["op5_repeated_substrings", "op7_repetition", "op9_decontamination", "op10_line_dedup"])
+def test_oracle(spark, tmp_path, name):
+    import duckdb
+
+    from chartloom.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    queries.QUERIES[name](spark, d).write.parquet(f"{tmp_path}/out")
+    con.execute(f"CREATE TABLE expected AS {queries.ORACLES[name]}")
+    con.execute(f"CREATE TABLE got AS SELECT * FROM '{tmp_path}/out/*.parquet'")
+    columns = ", ".join(sorted(r[0] for r in con.execute("DESCRIBE expected").fetchall()))
+    assert con.execute("SELECT count(*) FROM got").fetchone() == con.execute("SELECT count(*) FROM expected").fetchone()
+    assert con.execute(f"SELECT {columns} FROM expected EXCEPT ALL SELECT {columns} FROM got").fetchall() == []
