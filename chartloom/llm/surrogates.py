@@ -41,7 +41,7 @@ _NAME = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}\p{Ll}+)?"
 KINDS = {
     "email": r"[\p{L}0-9._%+-]+@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)*\.\p{L}{2,}",
     "access": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b",
-    "secret": r"(?<=[\"'])[0-9a-f]{32,128}(?=[\"'])",
+    "secret": r"(?<=[\"'])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?=[\"'])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "social": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -103,7 +103,7 @@ def draw(kind: Column, canonical: Column, attempt: Column, numbers: Column) -> C
     def alike(c: Column, i: Column, hexadecimal: Column) -> Column:
         return (
             F.when(F.regexp_like(c, F.lit("[0-9]")), pick("0123456789", i))
-            .when(hexadecimal, pick("abcdef", i))
+            .when(hexadecimal, F.when(F.regexp_like(c, F.lit("[A-F]")), pick("ABCDEF", i)).otherwise(pick("abcdef", i)))
             .when(F.regexp_like(c, F.lit("[a-z]")), pick("abcdefghijklmnopqrstuvwxyz", i))
             .when(F.regexp_like(c, F.lit("[A-Z]")), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", i))
             .when(F.regexp_like(c, F.lit(r"\p{IsCyrillic}")), pick("абвгдежзиклмнопрстуфхцчшэюя", i))
