@@ -49,11 +49,12 @@ def pack(ids: np.ndarray) -> np.ndarray:
             held += step
         if held < c:
             break
-        fits = np.flatnonzero(most <= width)
-        if not len(fits):
+        fits = most <= width
+        if not fits.any():
             break
-        count[fits], kind[fits] = c, s
-    jumps, i, starts = count.tolist(), 0, []
+        np.copyto(count[: len(fits)], np.uint8(c), where=fits)
+        np.copyto(kind[: len(fits)], np.uint8(s), where=fits)
+    jumps, i, starts = count.tobytes(), 0, []
     while i < n:
         starts.append(i)
         i += jumps[i]

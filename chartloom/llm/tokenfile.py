@@ -14,6 +14,7 @@ a block gets a block of its own. Malformed UTF-8 is replaced by U+FFFD.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -46,25 +47,50 @@ class Encoder:
         self.begins = np.zeros(size, dtype=bool)  # tokens that begin with a space
         for token, i in self.library.get_vocab().items():
             self.begins[i] = token.startswith("Ġ")
+        self.newline = np.zeros(size, dtype=bool)
+        self.newline[self.library.get_vocab()["Ċ"]] = True
+        self.one_word = re.compile(r"\S*").fullmatch
         special = tuple(str(t.content) for t in self.library.get_added_tokens_decoder().values())
         self.words = Words(self._values, b"", most, special)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, dtype=self.kind) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _values(self, asked: list[str]) -> list[bytes]:
-        """Words with a space in front are encoded as texts of many words: a token that begins with a space begins the next one."""
-        usual = [w for w in asked if w[0] == " " and w.find(" ", 1) < 0 and not w[-1].isspace()]
-        runs = ["".join(usual[i : i + 200]) for i in range(0, len(usual), 200)]
-        ids = np.concatenate([np.empty(0, self.kind), *self._ids(runs)])
-        at = [*(np.flatnonzero(self.begins[ids]) * self.kind.itemsize).tolist(), ids.nbytes]
-        if len(at) != len(usual) + 1:
-            raise ValueError("this vocabulary doesn't keep spaces in front of words")
+    def _joined(self, words: list[str], between: str, begins: np.ndarray) -> list[bytes]:
+        """Words encoded as texts of many; ``begins`` tells the tokens at which one begins (or, for newlines, lies between two)."""
+        runs = [between.join(words[i : i + 200]) for i in range(0, len(words), 200)]
+        ids = self._ids(runs)
+        if between:  # a newline ends each text, so that all of them may be cut alike
+            tail = np.flatnonzero(begins).astype(self.kind)[:1]
+            ids = [x for run in ids for x in (run, tail)]
+        ids = np.concatenate([np.empty(0, self.kind), *ids])
+        size, cuts = self.kind.itemsize, np.flatnonzero(begins[ids])
         data = ids.tobytes()
-        values = dict(zip(usual, [data[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
-        rest = [w for w in asked if w not in values]
-        values.update(zip(rest, (i.tobytes() for i in self._ids(rest)), strict=True))
-        return [values[w] for w in asked]
+        if between:
+            ends = (cuts * size).tolist()
+            starts = [0, *(e + size for e in ends[:-1])]
+        else:
+            starts = (cuts * size).tolist()
+            ends = [*starts[1:], len(data)]
+        if len(starts) != len(words):
+            raise ValueError("this vocabulary doesn't keep white space apart")
+        return [data[a:b] for a, b in zip(starts, ends, strict=True)]
+
+    def _values(self, asked: list[str]) -> list[bytes]:
+        """Parts with a space in front follow each other; those without white space stand on lines."""
+        out: list[bytes] = [b""] * len(asked)
+        spaced, bare, rest = [], [], []
+        for i, w in enumerate(asked):
+            if " " in w[1:] or w[-1].isspace() or (w[0] != " " and not self.one_word(w)):
+                rest.append(i)
+            else:
+                (spaced if w[0] == " " else bare).append(i)
+        for which, between, begins in ((spaced, "", self.begins), (bare, "\n", self.newline)):
+            for i, v in zip(which, self._joined([asked[i] for i in which], between, begins), strict=True) if which else ():
+                out[i] = v
+        for i, ids in zip(rest, self._ids([asked[i] for i in rest]), strict=True):
+            out[i] = ids.tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(b"".join(v), dtype=self.kind) for v in self.words.values(texts)]

@@ -117,8 +117,9 @@ def test_kept_ids(docs, tik):
 
 
 def test_plain_texts():
-    assert words.parts("a b\nc\n\nd") == ["\na", "b", "\n\n", "\nc", "\n\n", "\n\n", "\nd"]
-    assert not any(map(words.plain, ["a  b", "a\n b", "a \nb", "a\tb", "a\xa0b"])) and words.plain(" a\n")
+    distinct, order, ends = words.parts(["a b\nc\n\nd", " x a"])
+    assert [distinct[i] for i in order] == ["\na", "b", "\n\n", "\nc", "\n\n", "\n", "\n\n", "\nd", "\n", "x", "a"] and ends == [8, 11]
+    assert not any(map(words.plain, ["a  b", "a\n b", "a \nb", "a\tb", "a\xa0b", "a\n\n\nb", "a\n\n"])) and words.plain(" a\n") and words.plain("a\n\nb")
 
 
 # --- Simple-8b
