@@ -108,7 +108,7 @@ class Vocabulary:
                 if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None:
                     merges.append((a, b, r))
         self.find = spelt(pattern).findall
-        self.words = Words(self.resolve, b" ", most)
+        self.words = Words(self.resolve, b" ", most, find=self.find)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False})
         a, b, tok = (pa.array(c, pa.int32()) for c in zip(*merges, strict=True))
         given = pa.table({"a": a, "b": b, "tok": tok})  # noqa: F841  DuckDB finds it by its name

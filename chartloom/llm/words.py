@@ -4,7 +4,7 @@ The pattern that splits a text before the merges has matches that hold a space o
 white space. So each space with another character than white space on both sides begins a part, and a run
 of up to two newlines between such characters is cut off, each newline alone, as the pattern does. What
 ends in a letter and a mark is cut before the mark. Texts with other white space, or spaces beside spaces or
-newlines, or three newlines in a row, are left whole.
+newlines, or three newlines in a row, are cut by the pattern itself, or left whole.
 """
 
 from __future__ import annotations
@@ -79,12 +79,13 @@ class _Met(dict):
 class Words:
     """``resolve`` gives the values of a list of strings; those of parts are remembered.
 
-    A part's value may be put together from its pieces' values with ``glue``. Two generations of about
+    ``find`` cuts a text that is not plain into matches; without it such a text is left whole, as is one with a
+    ``special`` string. A part's value may be put together from its pieces' values with ``glue``. Two generations of about
     ``most`` parts are held; parts not met during the last one are forgotten.
     """
 
-    def __init__(self, resolve: Callable[[list[str]], list[bytes]], glue: bytes, most: int, special: tuple[str, ...] = ()):
-        self.resolve, self.glue, self.most, self.special = resolve, glue, most, special
+    def __init__(self, resolve: Callable[[list[str]], list[bytes]], glue: bytes, most: int, special: tuple[str, ...] = (), find: Callable[[str], list[str]] | None = None):
+        self.resolve, self.glue, self.most, self.special, self.find = resolve, glue, most, special, find
         self.met = _Met()
 
     def _learn(self) -> None:
@@ -117,16 +118,17 @@ class Words:
         if len(self.met) > self.most:
             self.met = _Met(self.met)
         number, known = self.met.__getitem__, self.met.known
-        whole = [t for t in texts if not plain(t) or any(s in t for s in self.special)]
-        alone = set(whole)
-        distinct, order, ends = parts([t for t in texts if t not in alone])
+        odd = {t for t in texts if not plain(t) or any(s in t for s in self.special)}
+        distinct, order, ends = parts([t for t in texts if t not in odd])
         numbers = list(map(number, distinct))
+        found = {t: [number(m[1:] if m[0] == " " and m[1:2] != "\n" else f"\n{m}") for m in self.find(t)] for t in odd} if self.find else {}
         self._learn()
         value = [known[n] for n in numbers]
-        resolved = dict(zip(whole, self.resolve(whole), strict=True))
+        whole = [] if self.find else list(odd)
+        resolved = dict(zip(whole, self.resolve(whole), strict=True)) | {t: self.glue.join([known[n] for n in ns]) for t, ns in found.items()}
         start, ends = 0, iter(ends)
         for t in texts:
-            if t in alone:
+            if t in odd:
                 yield [resolved[t]]
             else:
                 end = next(ends)

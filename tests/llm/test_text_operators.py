@@ -87,6 +87,12 @@ def test_ids_as_the_library_says(tik, texts):
         assert decoded == t.encode()
 
 
+def test_white_space_before_newlines(tik):
+    texts = ["a \nb", " \n x", "x \n\n  y\t\n z", "\n ", " ", "a  ", "\n\n\n", "a\n\n", "a \n \n b"]
+    for t, (ids, _) in zip(texts, bytebpe.vocabulary(RANKS, P.PATTERN).texts(texts), strict=True):
+        assert ids.decode() == " ".join(map(str, tik.encode_ordinary(t)))
+
+
 def test_long_words(tik):
     texts = ["a" * 5000, "the" * 700, "中文" * 600, "".join(chr(97 + (i * i * 7 + i) % 26) for i in range(3000)), "0123456789" * 100]
     for t, (ids, _) in zip(texts, bytebpe.vocabulary(RANKS, P.PATTERN).texts(texts), strict=True):
