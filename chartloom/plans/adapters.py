@@ -36,10 +36,11 @@ def axis_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     image = F.floor(F.col("o_custkey") / 5)
     k = F.col("o_orderkey")
-    edge = F.when(image % 10 == 9, (k * 7919) % 1000).otherwise(k).cast("double")
     axis = F.when(k % 2 == 0, "x").otherwise("y")
     rn = F.row_number().over(W.partitionBy("image_id", "axis").orderBy("k"))
-    base = o.select(image.alias("image_id"), axis.alias("axis"), k.alias("k"), edge.alias("edge")).withColumn("rn", rn)
+    base = o.select(image.alias("image_id"), axis.alias("axis"), k.alias("k")).withColumn("rn", rn)
+    edge = F.when(F.col("image_id") % 10 == 9, (F.col("k") * 7919) % 1000).otherwise(37 * F.col("rn") + F.col("k") % 30)
+    base = base.withColumn("edge", edge.cast("double"))
     v = (100 + 10 * F.col("rn")).cast("double")
     value = F.when(F.col("rn") % 13 == 7, None).when(F.col("rn") % (9 + F.col("image_id") % 5) == 5, v * 10).otherwise(v)
     return base.select("image_id", "axis", F.col("rn").cast("int").alias("det_ord"), "edge", F.col("edge").alias("x1"), F.col("edge").alias("y1"), (F.col("edge") + 8).alias("x2"), (F.col("edge") + 5).alias("y2"), value.alias("value"))
@@ -93,9 +94,9 @@ SQL = {
   SELECT image_id, axis, rn::INT AS det_ord, edge, edge AS x1, edge AS y1, edge + 8 AS x2, edge + 5 AS y2,
          CASE WHEN axis = 'x' THEN (edge + edge + 8) / 2 ELSE (edge + edge + 5) / 2 END AS center,
          CASE WHEN rn % 13 = 7 THEN NULL WHEN rn % (9 + image_id % 5) = 5 THEN (100 + 10 * rn)::DOUBLE * 10 ELSE (100 + 10 * rn)::DOUBLE END AS value
-  FROM (SELECT *, row_number() OVER (PARTITION BY image_id, axis ORDER BY o_orderkey) AS rn FROM (
-    SELECT o_orderkey, o_custkey // 5 AS image_id, CASE WHEN o_orderkey % 2 = 0 THEN 'x' ELSE 'y' END AS axis,
-           (CASE WHEN (o_custkey // 5) % 10 = 9 THEN (o_orderkey * 7919) % 1000 ELSE o_orderkey END)::DOUBLE AS edge FROM orders)))""",
+  FROM (SELECT *, (CASE WHEN image_id % 10 = 9 THEN (o_orderkey * 7919) % 1000 ELSE 37 * rn + o_orderkey % 30 END)::DOUBLE AS edge FROM (
+    SELECT *, row_number() OVER (PARTITION BY image_id, axis ORDER BY o_orderkey) AS rn FROM (
+      SELECT o_orderkey, o_custkey // 5 AS image_id, CASE WHEN o_orderkey % 2 = 0 THEN 'x' ELSE 'y' END AS axis FROM orders))))""",
     "charts": "charts AS (SELECT c_custkey - 1 AS image_id, (400 + 10 * (c_custkey % 25))::INT AS height, (600 + 10 * (c_custkey % 31))::INT AS width FROM customer)",
     "ocr": """pp AS (SELECT p_partkey // 20 AS image_id, CASE WHEN p_partkey % 2 = 0 THEN 'x' ELSE 'y' END AS axis, p_partkey::INT AS label_ord, p_partkey AS k, p_brand, p_size,
   (p_partkey % 50) || '.' || (p_size % 10) AS price FROM part),
