@@ -1,7 +1,7 @@
 """Personal data replaced by keyed surrogates, by DataFrame functions only.
 
 Entities are found by one pattern of named kinds: e-mail addresses, IPv4 addresses, telephone and card
-numbers, access keys, quoted secrets, and persons after a title. Each distinct entity gets a surrogate that
+numbers, access keys, secrets in quotes or after a word such as password, and persons after a title. Each distinct entity gets a surrogate that
 keeps its kind, script and format: digits become digits and letters letters of the same case and script, a
 number keeps its separators and leading group, an address stays valid and keeps its part counts, a person's
 given name is drawn from names of the gender that the title tells and of the same script.
@@ -47,8 +47,11 @@ KINDS = {
     "social": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]*\d)",
     "card": r"(?<![\d.-])\d{4}(?:[ -]?\d){9,15}(?![\d-])",
+    "password": r"(?<=[=: \"'])(?=[A-Za-z0-9+/_-]{0,127}\d)(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key) {0,2}[=:] {0,2}[\"']?)[A-Za-z0-9+/_-]{8,128}",
     "person": rf"{TITLE} {_NAME}(?: {_NAME})?",
 }
+#: Patterns of mentions by themselves, where the kind's own looks around it.
+ALONE = {"secret": r"[0-9a-f]{32,128}|[0-9A-F]{32,128}", "password": r"[A-Za-z0-9+/_-]{8,128}"}
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 
 #: Syllables of made-up names and their endings by gender, by script.
@@ -65,8 +68,8 @@ def _matches(c: Column, pattern: str) -> Column:
 
 def kind_of(mention: Column) -> Column:
     """The first kind whose pattern matches all of the mention."""
-    inner = {k: p.replace(r"(?<=[\"'])", "").replace(r"(?=[\"'])", "") for k, p in KINDS.items()}
-    return reduce(lambda out, k: out.when(_matches(mention, inner[k]), k), inner, F.when(F.lit(False), ""))
+    alone = KINDS | ALONE
+    return reduce(lambda out, k: out.when(_matches(mention, alone[k]), k), KINDS, F.when(F.lit(False), ""))
 
 
 def parts_of(mention: Column, kind: Column) -> Column:
@@ -126,7 +129,7 @@ def draw(kind: Column, canonical: Column, attempt: Column, numbers: Column) -> C
     card = F.when(luhn(canonical) == 0, _with_check(card)).otherwise(card)
     out = (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", filled(country)).when(kind == "access", filled(prefix))
-        .when(kind == "card", card).when(kind == "iban", filled(F.lit(2))).when(kind == "secret", filled(F.lit(0), F.lit(True)))
+        .when(kind == "card", card).when(kind == "iban", filled(F.lit(2))).when(kind.isin("secret", "password"), filled(F.lit(0), F.regexp_like(canonical, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$"))))
     )
     for script, syllables in SYLLABLES.items():
         for sort, endings in ENDINGS[script].items():
