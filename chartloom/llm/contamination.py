@@ -31,7 +31,7 @@ from .common import id_of, record, slices, texts
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bytes of items' texts in a block (an item that is larger is a block of its own), words remembered by a worker.
-BLOCK, WORDS = 8 << 20, 400_000
+BLOCK, WORDS = 8 << 20, 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FIELDS = ("id", "item_id", "n_shingles", "n_shared", "containment")
 SCHEMA = "id long, item_id long, n_shingles long, n_shared long, containment double"

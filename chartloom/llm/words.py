@@ -42,7 +42,10 @@ def parts(texts: list[str]) -> tuple[list[str], list[int], list[int]]:
     cut = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), marked, pa.scalar("", pa.large_string())), " ")
     flat = cut.flatten().dictionary_encode()
     listed = [a.to_numpy(zero_copy_only=False).tolist() for a in (flat.dictionary, flat.indices)]  # far faster than to_pylist
-    return *listed, (np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))).tolist()
+    ends = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False)).tolist()
+    del marked, cut, flat
+    pa.default_memory_pool().release_unused()
+    return *listed, ends
 
 
 def spelling(part: str) -> str:
