@@ -31,7 +31,7 @@ from .common import id_of, record, slices, texts
 from .words import Words, spelt
 
 #: Words remembered by a worker (twice as many at most), bytes of words given to DuckDB at once, longest word to contract pair by pair.
-WORDS, BLOCK, LONG = 350_000, 1 << 17, 96
+WORDS, BLOCK, LONG = 700_000, 1 << 17, 96
 
 #: Positions of a word stay 0, 1, ... A row knows the next row's token; ``pair`` has what the two would make
 #: above its position, so that the least one is the leftmost of least rank.
@@ -109,7 +109,7 @@ class Vocabulary:
                     merges.append((a, b, r))
         self.find = spelt(pattern).findall
         self.words = Words(self.resolve, b" ", most, find=self.find)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False})
         a, b, tok = (pa.array(c, pa.int32()) for c in zip(*merges, strict=True))
         given = pa.table({"a": a, "b": b, "tok": tok})  # noqa: F841  DuckDB finds it by its name
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
@@ -168,22 +168,25 @@ class Vocabulary:
 _VOCABULARIES: dict[tuple[str, str], Vocabulary] = {}
 
 
-def vocabulary(path: str, pattern: str) -> Vocabulary:
+def vocabulary(path: str, pattern: str, most: int = WORDS) -> Vocabulary:
     if (path, pattern) not in _VOCABULARIES:
-        _VOCABULARIES[path, pattern] = Vocabulary(path, pattern)
-    return _VOCABULARIES[path, pattern]
+        _VOCABULARIES[path, pattern] = Vocabulary(path, pattern, most)
+    found = _VOCABULARIES[path, pattern]
+    found.words.most = most
+    return found
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, most: int = WORDS) -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)`` of every row; with ``keep`` also ``ids`` and ``decoded``.
 
-    ``path`` names a file of base64 tokens and ranks, the same on every executor.
+    ``path`` names a file of base64 tokens and ranks, the same on every executor; ``most`` bounds the words that
+    a worker remembers, about 200 bytes each and twice as many at most.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path, pattern)
+        v = vocabulary(path, pattern, most)
         for whole in batches:
-            for b in slices(whole, 1, 4 << 20):
+            for b in slices(whole, 1):
                 got = list(v.texts([t.decode("utf-8", "replace") for t in b.column(1).to_pylist()]))
                 cols = [pa.array([i.count(b" ") + 1 if i else 0 for i, _ in got], pa.int64()), *(pa.array([hashlib.sha256(g[k]).hexdigest() for g in got], pa.string()) for k in (0, 1))]
                 if keep:

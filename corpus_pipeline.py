@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from chartloom.llm import bytebpe, contamination, linededup, quality, queries, simhash
 from chartloom.llm.common import Scratch
 
+#: Words that a worker remembers: fewer than by default, since workers and heaps still hold what earlier stages left.
+WORDS = 350_000
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is ``quality.THRESHOLD`` or more."""
@@ -36,7 +39,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and of decoded bytes, one row a document."""
-    found = bytebpe.encode_decode(docs, queries.vocabulary("byte_bpe_50k.tiktoken"), queries.pattern())
+    found = bytebpe.encode_decode(docs, queries.vocabulary("byte_bpe_50k.tiktoken"), queries.pattern(), most=WORDS)
     return found.withColumnRenamed("id", "doc_id")
 
 
