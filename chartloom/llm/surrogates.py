@@ -1,7 +1,7 @@
 """Personal data replaced by keyed surrogates, by DataFrame functions only.
 
 Entities are found by one pattern of named kinds: e-mail addresses, IPv4 addresses, telephone and card
-numbers, access keys, secrets in quotes or after a word such as password, and persons after a title. Each distinct entity gets a surrogate that
+numbers, access keys, secrets in quotes or after a word such as password (of any length, dots inside and padding included), and persons after a title. Each distinct entity gets a surrogate that
 keeps its kind, script and format: digits become digits and letters letters of the same case and script, a
 number keeps its separators and leading group, an address stays valid and keeps its part counts, a person's
 given name is drawn from names of the gender that the title tells and of the same script.
@@ -41,18 +41,19 @@ _NAME = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}\p{Ll}+)?"
 KINDS = {
     "email": r"[\p{L}0-9._%+-]+@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)*\.\p{L}{2,}",
     "access": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b",
-    "secret": r"(?<=[\"'])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?=[\"'])",
+    "secret": r"(?<=[\"'])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?=[\"'])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "social": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]*\d)",
     "card": r"(?<![\d.-])\d{4}(?:[ -]?\d){9,15}(?![\d-])",
-    "password": r"(?<=[=: \"'])(?=[A-Za-z0-9+/_-]{0,127}\d)(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key) {0,2}[=:] {0,2}[\"']?)[A-Za-z0-9+/_-]{8,128}",
+    "password": r"(?<=[=: \"'])(?=[A-Za-z0-9+/_.-]*\d)(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key) {0,2}[=:] {0,2}[\"']?)[A-Za-z0-9+/_.-]{7,}[A-Za-z0-9+/_-]={0,2}",
     "person": rf"{TITLE} {_NAME}(?: {_NAME})?",
 }
 #: Patterns of mentions by themselves, where the kind's own looks around it.
-ALONE = {"secret": r"[0-9a-f]{32,128}|[0-9A-F]{32,128}", "password": r"[A-Za-z0-9+/_-]{8,128}"}
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+ALONE = {"secret": r"[0-9a-f]{32,}|[0-9A-F]{32,}", "password": r"[A-Za-z0-9+/_.-]{7,}[A-Za-z0-9+/_-]={0,2}"}
+#: After a word such as password the whole run goes, so an access key is tried after it, lest what follows the key stay.
+PATTERN = "|".join(f"(?:{KINDS[k]})" for k in sorted(KINDS, key=lambda k: (k == "access", k == "person")))
 
 #: Syllables of made-up names and their endings by gender, by script.
 SYLLABLES = {
@@ -91,15 +92,16 @@ def parts_of(mention: Column, kind: Column) -> Column:
 
 
 def stream(kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
-    """Keyed numbers from 0 to 255, 128 of them."""
+    """Keyed numbers from 0 to 255, 128 of them, or as many as the canonical form has characters."""
     seed = F.concat_ws("\x1f", F.lit(key), kind, canonical, attempt.cast("string"))
-    text = F.concat(*(F.sha2(F.concat(seed, F.lit(f"\x1f{i}")), 256) for i in range(4)))
-    return F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.conv(F.substr(text, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
+    blocks = F.greatest(F.lit(4), F.ceil(F.length(canonical) / 32).cast("int"))
+    hashes = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.sha2(F.concat(seed, F.lit("\x1f"), i.cast("string")), 256))
+    return F.flatten(F.transform(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substr(h, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))))
 
 
 def draw(kind: Column, canonical: Column, attempt: Column, numbers: Column) -> Column:
     """The surrogate's canonical form; ``numbers`` is a column of its ``stream``."""
-    at = lambda i: F.element_at(numbers, F.pmod(i, F.lit(128)).cast("int") + 1)
+    at = lambda i: F.element_at(numbers, F.pmod(i, F.size(numbers)).cast("int") + 1)
     pick = lambda letters, i: F.substr(F.lit(letters), F.pmod(at(i), F.lit(len(letters))) + 1, F.lit(1))
     chars = F.split(canonical, "")
 
@@ -114,9 +116,9 @@ def draw(kind: Column, canonical: Column, attempt: Column, numbers: Column) -> C
             .otherwise(c)
         )
 
-    def filled(keep: Column, hexadecimal: Column | None = None) -> Column:
+    def filled(keep: Column, hexadecimal: bool = False) -> Column:
         """As many characters of the same sorts; the first ``keep`` stay."""
-        return F.array_join(F.transform(chars, lambda c, i: F.when(i < keep, c).otherwise(alike(c, i, F.lit(False) if hexadecimal is None else hexadecimal))), "")
+        return F.array_join(F.transform(chars, lambda c, i: F.when(i < keep, c).otherwise(alike(c, i, F.lit(hexadecimal)))), "")
 
     # an address keeps what follows its last dot
     top = F.regexp_extract(canonical, r"(\.[^.@]+)$", 1)
@@ -129,7 +131,7 @@ def draw(kind: Column, canonical: Column, attempt: Column, numbers: Column) -> C
     card = F.when(luhn(canonical) == 0, _with_check(card)).otherwise(card)
     out = (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", filled(country)).when(kind == "access", filled(prefix))
-        .when(kind == "card", card).when(kind == "iban", filled(F.lit(2))).when(kind.isin("secret", "password"), filled(F.lit(0), F.regexp_like(canonical, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$"))))
+        .when(kind == "card", card).when(kind == "iban", filled(F.lit(2))).when(kind.isin("secret", "password"), F.when(F.regexp_like(canonical, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$")), filled(F.lit(0), True)).otherwise(filled(F.lit(0))))
     )
     for script, syllables in SYLLABLES.items():
         for sort, endings in ENDINGS[script].items():

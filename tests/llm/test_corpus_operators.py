@@ -266,6 +266,22 @@ def test_passwords(replaced):
     assert re.fullmatch(r"password=[0-9a-f]{18}, PWD: [A-Z][a-z]{2}\d{5}!!", replaced[9, 2])
 
 
+def test_long_secrets_go_whole(spark):
+    rng = random.Random(3)
+    hexes = ["".join(rng.choices("0123456789abcdef", k=n)) for n in (200, 200, 5000)]
+    parts = ["".join(rng.choices("abcdXYZ012_-", k=n)) + "9z" for n in (40, 200, 43)]
+    texts = [f'token = "{hexes[0]}"', f'see "{hexes[1]}" there', f"password={hexes[2]}", "token=" + ".".join(parts) + ". Then", "secret: dGhpcyBpcyA1==", "token=sk-" + "a1" * 12 + "-tail-of-it"]
+    got = {r.id: r.text for r in surrogates.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, secret in enumerate([hexes[0], hexes[1], hexes[2], ".".join(parts), "dGhpcyBpcyA1==", texts[5][6:]]):
+        head, tail = texts[i].split(secret)
+        assert got[i].startswith(head) and got[i].endswith(tail) and len(got[i]) == len(texts[i])
+        made = got[i][len(head) : len(got[i]) - len(tail)]
+        assert not any(secret[k : k + 8] in made for k in range(len(secret) - 7)), i
+        assert [c for c in made if not c.isalnum()] == [c for c in secret if not c.isalnum()]
+        assert made[:128] != made[128:256] or len(made) <= 128
+    assert re.fullmatch("[0-9a-f]{5000}", got[2][9:])
+
+
 def test_spellings_of_one_entity_agree(replaced):
     a, b = re.findall(r"[\w.]+@[\w.]+\.com", replaced[1, 3])
     assert a.lower() == b.lower() and b.split("@")[0].isupper()
