@@ -11,7 +11,9 @@ An entity's canonical form drops case and separators, so all its spellings in al
 surrogate, written in each spelling's own format (coreference). Collision checks keep entities apart
 (distinctness): attempts are made in rounds over the distinct entities, and a round's surrogate stands only
 if it is no entity of the corpus, and the first by entity among those that drew it; the others try again.
-After ``ROUNDS`` attempts the rest get a suffix that numbers them, so the mapping is one-to-one in any case.
+After ``ROUNDS`` attempts the rest are dealt the unused spellings of their own format, in an order that the key
+sets; who finds none left draws among longer ones (a digit or letter more, an address longer octets, a name more
+syllables), by the same checks. So the mapping is one-to-one in any case.
 
 Distinct entities are counted before any shuffle, so an entity that a third of all documents name is one row
 to the checks. Mentions find their surrogates by a join of two plain exchanges, which
@@ -25,13 +27,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, id_of, key_of
 
-#: Attempts to draw a surrogate that is neither taken nor an entity; then a suffix settles it.
-ROUNDS = 4
+#: Attempts to draw a surrogate that is neither taken nor an entity before the unused ones are listed, and attempts at longer ones.
+ROUNDS, LONGER = 4, 64
 KEY = "chartloom"
 
 _MEN, _WOMEN = "Mr|Herr|Monsieur|Señor|Sr|Signor", "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Signora"
@@ -63,6 +65,11 @@ SYLLABLES = {
 ENDINGS = {"latin": {"m": ["n", "s", "rd", "k"], "f": ["a", "ia", "na", "ella"], "n": ["e", "is", "y", "o"], "s": ["son", "er", "man", "well"]}, "cyrillic": {"m": ["н", "р", "м", "д"], "f": ["а", "ия", "на", "ина"], "n": ["ь", "о", "е", "и"], "s": ["ов", "ин", "ко", "енко"]}}
 
 
+#: Letters and digits by the sort of character that they stand in for.
+ALPHABETS = {"[0-9]": "0123456789", "[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"\p{IsCyrillic}": "абвгдежзиклмнопрстуфхцчшэюя", r"\p{L}": "àâäçèéêëîïñóôöùúûü"}
+HEXADECIMAL = "^(?:[0-9a-f]+|[0-9A-F]+)$"
+
+
 def _matches(c: Column, pattern: str) -> Column:
     return F.regexp_like(c, F.lit(f"^(?:{pattern})$"))
 
@@ -99,6 +106,29 @@ def stream(kind: Column, canonical: Column, attempt: Column, key: str) -> Column
     return F.flatten(F.transform(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substr(h, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))))
 
 
+def leading(kind: Column, canonical: Column) -> Column:
+    """How many of the first characters stay."""
+    country = F.when(canonical.startswith("+1"), 2).when(canonical.startswith("+"), 3).otherwise(0)
+    prefix = F.when(F.regexp_like(canonical, F.lit("^(?:AKIA|ASIA|gh.*)")), 4).when(canonical.startswith("sk-"), 3).otherwise(0)
+    return F.when(kind == "phone", country).when(kind == "access", prefix).when(kind == "card", 1).when(kind == "iban", 2).otherwise(0)
+
+
+def choices(kind: Column, canonical: Column) -> Column:
+    """How many values ``draw`` can take at each place of a surrogate, names apart: 1 where a character stays."""
+    octets = F.transform(F.split(canonical, r"\."), lambda c: F.when(F.length(c) == 1, 9).when(F.length(c) == 2, 90).otherwise(156))
+    hexadecimal = kind.isin("secret", "password") & F.regexp_like(canonical, F.lit(HEXADECIMAL))
+    top = F.when(kind == "email", F.length(F.regexp_extract(canonical, r"(\.[^.@]+)$", 1))).when((kind == "card") & (luhn(canonical) == 0), 1).otherwise(0)
+    free = lambda i: (i >= leading(kind, canonical)) & (i < F.length(canonical) - top)
+    many = lambda c: reduce(lambda out, sort: out.when(F.regexp_like(c, F.lit(sort)), len(ALPHABETS[sort])), ALPHABETS, F.when(hexadecimal & F.regexp_like(c, F.lit("[A-Fa-f]")), 6)).otherwise(1)
+    return F.when(kind == "ip", octets).otherwise(F.transform(F.split(canonical, ""), lambda c, i: F.when(free(i), many(c)).otherwise(1)))
+
+
+def longer(kind: Column, canonical: Column, by: int) -> Column:
+    """The canonical form with ``by`` characters more, or longer octets; names grow with the attempt instead."""
+    octets = F.array_join(F.transform(F.split(canonical, r"\."), lambda c: F.rpad(c, F.least(F.lit(3), F.length(c) + by), F.lit("0"))), ".")
+    return F.when(kind.startswith("name-"), canonical).when(kind == "ip", octets).when(kind == "email", F.regexp_replace(canonical, "@", "a" * by + "@")).otherwise(F.concat(canonical, F.lit("0" * by)))
+
+
 def draw(kind: Column, canonical: Column, attempt: Column, numbers: Column) -> Column:
     """The surrogate's canonical form; ``numbers`` is a column of its ``stream``."""
     at = lambda i: F.element_at(numbers, F.pmod(i, F.size(numbers)).cast("int") + 1)
@@ -106,15 +136,8 @@ def draw(kind: Column, canonical: Column, attempt: Column, numbers: Column) -> C
     chars = F.split(canonical, "")
 
     def alike(c: Column, i: Column, hexadecimal: Column) -> Column:
-        return (
-            F.when(F.regexp_like(c, F.lit("[0-9]")), pick("0123456789", i))
-            .when(hexadecimal, F.when(F.regexp_like(c, F.lit("[A-F]")), pick("ABCDEF", i)).otherwise(pick("abcdef", i)))
-            .when(F.regexp_like(c, F.lit("[a-z]")), pick("abcdefghijklmnopqrstuvwxyz", i))
-            .when(F.regexp_like(c, F.lit("[A-Z]")), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", i))
-            .when(F.regexp_like(c, F.lit(r"\p{IsCyrillic}")), pick("абвгдежзиклмнопрстуфхцчшэюя", i))
-            .when(F.regexp_like(c, F.lit(r"\p{L}")), pick("àâäçèéêëîïñóôöùúûü", i))
-            .otherwise(c)
-        )
+        out = F.when(F.regexp_like(c, F.lit("[0-9]")), pick("0123456789", i)).when(hexadecimal, F.when(F.regexp_like(c, F.lit("[A-F]")), pick("ABCDEF", i)).otherwise(pick("abcdef", i)))
+        return reduce(lambda out, sort: out.when(F.regexp_like(c, F.lit(sort)), pick(ALPHABETS[sort], i)), ALPHABETS, out).otherwise(c)
 
     def filled(keep: Column, hexadecimal: bool = False) -> Column:
         """As many characters of the same sorts; the first ``keep`` stay."""
@@ -125,13 +148,11 @@ def draw(kind: Column, canonical: Column, attempt: Column, numbers: Column) -> C
     email = F.concat(F.substr(filled(F.lit(0)), F.lit(1), F.length(canonical) - F.length(top)), top)
     octet = lambda c, i: F.when(F.length(c) == 1, F.pmod(at(i), F.lit(9)) + 1).when(F.length(c) == 2, F.pmod(at(i), F.lit(90)) + 10).otherwise(F.pmod(at(i), F.lit(156)) + 100).cast("string")
     ip = F.array_join(F.transform(F.split(canonical, r"\."), octet), ".")
-    country = F.when(canonical.startswith("+1"), 2).when(canonical.startswith("+"), 3).otherwise(0)
-    prefix = F.when(F.regexp_like(canonical, F.lit("^(?:AKIA|ASIA|gh.*)")), 4).when(canonical.startswith("sk-"), 3).otherwise(0)
     card = filled(F.lit(1))
     card = F.when(luhn(canonical) == 0, _with_check(card)).otherwise(card)
     out = (
-        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", filled(country)).when(kind == "access", filled(prefix))
-        .when(kind == "card", card).when(kind == "iban", filled(F.lit(2))).when(kind.isin("secret", "password"), F.when(F.regexp_like(canonical, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$")), filled(F.lit(0), True)).otherwise(filled(F.lit(0))))
+        F.when(kind == "email", email).when(kind == "ip", ip).when(kind.isin("phone", "access", "iban"), filled(leading(kind, canonical)))
+        .when(kind == "card", card).when(kind.isin("secret", "password"), F.when(F.regexp_like(canonical, F.lit(HEXADECIMAL)), filled(F.lit(0), True)).otherwise(filled(F.lit(0))))
     )
     for script, syllables in SYLLABLES.items():
         for sort, endings in ENDINGS[script].items():
@@ -158,32 +179,73 @@ def render(spelling: Column, kind: Column, surrogate: Column) -> Column:
     chars = F.split(spelling, "")
     slot = r"[^\p{L}0-9+]"
     slotted = F.array_join(F.transform(chars, lambda c, i: F.when(F.regexp_like(c, F.lit(slot)), c).otherwise(F.substr(surrogate, F.length(F.regexp_replace(F.substr(spelling, F.lit(1), i + 1), slot, "")), F.lit(1)))), "")
+    slotted = F.concat(slotted, F.substr(surrogate, F.length(F.regexp_replace(spelling, slot, "")) + 1, F.length(surrogate)))
     cased = lambda made: F.array_join(F.transform(F.split(made, ""), lambda c, i: F.when(F.regexp_like(F.get(chars, i), F.lit(r"\p{Lu}")), F.upper(c)).otherwise(c)), "")
     name = F.when(F.regexp_like(spelling, F.lit(r"^[\p{Lu}'’-]{2,}$")), F.upper(surrogate)).when(F.regexp_like(spelling, F.lit(r"^\p{Lu}")), F.concat(F.upper(F.substr(surrogate, F.lit(1), F.lit(1))), F.substr(surrogate, F.lit(2), F.length(surrogate)))).otherwise(surrogate)
     return F.when(kind.isin("phone", "card", "social", "iban"), cased(slotted)).when(kind == "email", cased(surrogate)).when(kind.startswith("name-"), name).otherwise(surrogate)
 
 
-def _drawn(entities: DataFrame, attempt: int, key: str) -> DataFrame:
+def _drawn(entities: DataFrame, attempt: int, key: str, by: int = 0) -> DataFrame:
     fed = entities.select("kind", "canonical", stream(F.col("kind"), F.col("canonical"), F.lit(attempt), key).alias("numbers"))
-    return fed.select("kind", "canonical", draw(F.col("kind"), F.col("canonical"), F.lit(attempt), F.col("numbers")).alias("surrogate"))
+    like = longer(F.col("kind"), F.col("canonical"), by) if by else F.col("canonical")
+    return fed.select("kind", "canonical", draw(F.col("kind"), like, F.lit(attempt), F.col("numbers")).alias("surrogate"))
+
+
+def _dealt(left: DataFrame, taken: DataFrame, key: str) -> DataFrame:
+    """The k-th unused surrogate of a format for the k-th entity left in it, as far as there are any.
+
+    A format is the surrogate of all places' first values and how many values each has. Of its spellings as many
+    are listed as are left and taken, so enough are unused unless the format runs out.
+    """
+    kind, canonical, sizes = F.col("kind"), F.col("canonical"), F.col("sizes")
+    sized = left.where(~kind.startswith("name-")).withColumn("sizes", choices(kind, canonical))
+    formed = sized.withColumn("zero", draw(kind, canonical, F.lit(0), F.transform(F.sequence(F.lit(0), F.size(sizes)), lambda i: F.lit(0))))
+    form = ["kind", "zero", "sizes"]
+    used = taken.groupBy("kind", F.length("surrogate").alias("n_chars")).agg(F.count("*").alias("used"))
+    space = F.aggregate(sizes, F.lit(1).cast("long"), lambda a, n: F.least(a * n, F.lit(1 << 40)))
+    forms = formed.groupBy(*form).agg(F.count("*").alias("n"), F.min("canonical").alias("canonical")).withColumn("n_chars", F.length("zero"))
+    listed = forms.join(used, ["kind", "n_chars"], "left").withColumn("space", space)
+    listed = listed.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.least("space", F.col("n") + F.coalesce("used", F.lit(0))) - 1)))
+    places = F.aggregate(
+        sizes, F.struct(F.pmod(F.col("at") * 1000003, F.col("space")).alias("rest"), F.array().cast("array<long>").alias("places")),
+        lambda a, n: F.struct(((a["rest"] - a["rest"] % n) / n).cast("long").alias("rest"), F.concat(a["places"], F.array((a["rest"] % n).cast("long"))).alias("places")),
+    )["places"]
+    listed = listed.withColumn("places", places).withColumn("start", stream(kind, F.col("zero"), F.lit(-1), key))
+    listed = listed.withColumn("numbers", F.transform("start", lambda x, i: (x + F.coalesce(F.get("places", i), F.lit(0))).cast("int")))
+    unused = listed.select(*form, draw(kind, canonical, F.lit(0), F.col("numbers")).alias("surrogate")).distinct().join(taken, ["kind", "surrogate"], "left_anti")
+    kth = lambda by: F.row_number().over(Window.partitionBy(*form).orderBy(F.sha2(F.concat_ws("\x1f", F.lit(key), by), 256), by))
+    return formed.withColumn("k", kth("canonical")).join(unused.withColumn("k", kth("surrogate")), [*form, "k"]).select("kind", "canonical", "surrogate")
 
 
 def mapping(entities: DataFrame, scratch: Scratch, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
     """``(kind, canonical, surrogate)``, one-to-one within a kind, no surrogate an entity of that kind."""
-    done, left = None, entities
+    done, left, step = None, entities, 0
     taken = entities.select("kind", F.col("canonical").alias("surrogate"))
-    for r in range(rounds):
-        drawn = _drawn(left, r, key)
+
+    def settle(drawn: DataFrame) -> bool:
+        """Whether a surrogate stands: one that is not taken, for the first by entity among those that drew it."""
+        nonlocal done, left, taken, step
         first = drawn.groupBy("kind", "surrogate").agg(F.min("canonical").alias("canonical"))
-        stands = scratch.put(first.join(taken, ["kind", "surrogate"], "left_anti").select("kind", "canonical", "surrogate"), f"round-{r}")
+        stands = scratch.put(first.join(taken, ["kind", "surrogate"], "left_anti").select("kind", "canonical", "surrogate"), f"round-{step}")
         done = stands if done is None else done.unionByName(stands)
         taken = taken.unionByName(stands.select("kind", "surrogate"))
-        left = scratch.put(left.join(stands.select("kind", "canonical"), ["kind", "canonical"], "left_anti"), f"left-{r}")
+        left = scratch.put(left.join(stands.select("kind", "canonical"), ["kind", "canonical"], "left_anti"), f"left-{step}")
+        step += 1
+        return not stands.isEmpty()
+
+    for r in range(rounds):
+        settle(_drawn(left, r, key))
+        if left.isEmpty():
+            return done
+    while settle(_dealt(left, taken, key)):  # formats may share spellings, so a pass can leave some
+        pass
+    for by in range(1, LONGER + 1):
         if left.isEmpty():
             return done
-    suffix = F.substr(F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "canonical"), 256), F.lit(1), F.lit(16))
-    last = _drawn(left, rounds, key).withColumn("surrogate", F.concat("surrogate", F.lit("-"), suffix))
-    return done.unionByName(last)
+        settle(_drawn(left, rounds + by - 1, key, by))
+    if not left.isEmpty():
+        raise ValueError("no surrogate is left for some entities")
+    return done
 
 
 def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:

@@ -302,6 +302,18 @@ def test_one_to_one_even_where_names_run_short(spark, monkeypatch):
     assert len(got) == len(names) == len({r.surrogate for r in got}) and not {r.surrogate for r in got} & {n for _, n in names}
 
 
+def test_written_surrogates_differ_where_numbers_run_short(spark):
+    phones = [f"+25{i:03d}" for i in range(600)]
+    ips = [f"{a}.{b}.{c}.{d}" for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 7)]
+    texts = [" ".join(x[i : i + 50]) for x in (phones, ips) for i in range(0, len(x), 50)]
+    got = surrogates.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("id").collect()
+    made = [w for r in got for w in r.text.split(" ")]
+    assert len(set(made)) == len(made) == len(phones) + len(ips) and not set(made) & {*phones, *ips}
+    assert sum(bool(re.fullmatch(r"\+25\d{3}", w)) for w in made) == 400 and sum(bool(re.fullmatch(r"\+25\d{3,}", w)) for w in made) == 600
+    assert sum(bool(re.fullmatch(r"[1-9](\.[1-9]){3}", w)) for w in made) == 9**4 - len(ips)
+    assert all(re.fullmatch(r"[1-9]\d{0,2}(\.[1-9]\d{0,2}){3}", w) and max(map(int, w.split("."))) < 256 for w in made[600:])
+
+
 def test_the_key_decides(spark):
     docs = spark.createDataFrame([(1, "bob@x.org")], "doc_id long, text string")
     assert len({surrogates.replace(docs, key=k).first().text for k in ("a", "b", "a")}) == 2
