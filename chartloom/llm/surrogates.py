@@ -4,7 +4,8 @@ Entities are found by one pattern of named kinds: e-mail addresses, IPv4 address
 numbers, access keys, secrets in quotes or after a word such as password (of any length, dots inside and padding included), and persons after a title. Each distinct entity gets a surrogate that
 keeps its kind, script and format: digits become digits and letters letters of the same case and script, a
 number keeps its separators and leading group, an address stays valid and keeps its part counts, a person's
-given name is drawn from names of the gender that the title tells and of the same script.
+given name is drawn from names of the same script and of the gender that the titles before it tell, of neither
+where they tell none or both. A name found after a title is replaced wherever its document spells it alike.
 
 Surrogates come from a secret key: a keyed SHA-256 of kind, canonical form and attempt feeds the characters.
 An entity's canonical form drops case and separators, so all its spellings in all documents get the same
@@ -61,12 +62,19 @@ PATTERN = "|".join(f"(?:{KINDS[k]})" for k in sorted(KINDS, key=lambda k: (k ==
 SYLLABLES = {
     "latin": ["ba", "bel", "cor", "da", "del", "fa", "gar", "ha", "il", "jo", "ka", "lan", "le", "mar", "mi", "na", "nor", "ol", "pa", "per", "ra", "ro", "sa", "sel", "ta", "tor", "ul", "va", "ver", "vi", "wen", "zo"],
     "cyrillic": ["ба", "бел", "вер", "ви", "га", "гор", "да", "дел", "жа", "за", "зор", "ил", "ка", "кор", "ла", "лен", "ма", "мир", "на", "нор", "ол", "па", "пер", "ра", "ро", "са", "сел", "та", "тор", "ул", "фа", "юл"],
+    "greek": ["βα", "γε", "δα", "ζη", "θε", "κα", "κο", "λα", "λε", "μα", "με", "μι", "να", "νι", "ξε", "πα", "πε", "ρα", "ρι", "σα", "στα", "τα", "τι", "φι", "χα", "χρι", "ψα", "δω", "λου", "μο", "ρο", "σο"],
+    "armenian": ["բա", "գա", "դա", "զա", "թե", "լի", "կա", "հա", "մա", "մի", "նա", "նո", "շա", "պե", "ռա", "սա", "սի", "վա", "վե", "տա", "տի", "րո", "րի", "գո", "դի", "լա", "կո", "հո", "մո", "շո", "պա", "տո"],
 }
-ENDINGS = {"latin": {"m": ["n", "s", "rd", "k"], "f": ["a", "ia", "na", "ella"], "n": ["e", "is", "y", "o"], "s": ["son", "er", "man", "well"]}, "cyrillic": {"m": ["н", "р", "м", "д"], "f": ["а", "ия", "на", "ина"], "n": ["ь", "о", "е", "и"], "s": ["ов", "ин", "ко", "енко"]}}
+ENDINGS = {"latin": {"m": ["n", "s", "rd", "k"], "f": ["a", "ia", "na", "ella"], "n": ["e", "is", "y", "o"], "s": ["son", "er", "man", "well"]}, "cyrillic": {"m": ["н", "р", "м", "д"], "f": ["а", "ия", "на", "ина"], "n": ["ь", "о", "е", "и"], "s": ["ов", "ин", "ко", "енко"]}, "greek": {"m": ["ς", "ν", "ξ", "ρ"], "f": ["α", "η", "ια", "ινα"], "n": ["ι", "ο", "υ", "ε"], "s": ["κης", "δης", "που", "τος"]}, "armenian": {"m": ["ն", "կ", "մ", "ր"], "f": ["ա", "ի", "ինե", "ուհի"], "n": ["ո", "ե", "է", "ու"], "s": ["յան", "ունի", "ենց", "ոնց"]}}
 
 
+LETTERS = {
+    r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω", r"\p{IsArmenian}": "աբգդեզէթժիլխկհմնշոպռսվտր", r"\p{IsGeorgian}": "აბგდევზთიკლმნოპრსტუფქღშჩ", r"\p{IsHebrew}": "אבגדהוזחטיכלמנסעפצקרשת",
+    r"\p{IsArabic}": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", r"\p{IsHiragana}": "あいうえおかきくけこさしすせそたちつてとなにぬねの", r"\p{IsKatakana}": "アイウエオカキクケコサシスセソタチツテトナニヌネノ",
+    r"\p{IsHangul}": "가나다라마바사아자차카타파하고노도로모보소오", r"\p{IsHan}": "山川田中林木水火土石金玉日月天地人大小上下东西南北",
+}
 #: Letters and digits by the sort of character that they stand in for.
-ALPHABETS = {"[0-9]": "0123456789", "[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"\p{IsCyrillic}": "абвгдежзиклмнопрстуфхцчшэюя", r"\p{L}": "àâäçèéêëîïñóôöùúûü"}
+ALPHABETS = {"[0-9]": "0123456789", "[a-z]": "abcdefghijklmnopqrstuvwxyz", "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"\p{IsCyrillic}": "абвгдежзиклмнопрстуфхцчшэюя", **LETTERS, r"\p{L}": "àâäçèéêëîïñóôöùúûü"}
 HEXADECIMAL = "^(?:[0-9a-f]+|[0-9A-F]+)$"
 
 
@@ -81,19 +89,19 @@ def kind_of(mention: Column) -> Column:
 
 
 def parts_of(mention: Column, kind: Column) -> Column:
-    """The mention as an array of (kind, canonical form, spelling): a person is a title and one or two names."""
+    """The mention as an array of (kind, canonical form, spelling, gender): a person is a title and one or two names."""
 
-    def part(kind: Column, canonical: Column, spelling: Column) -> Column:
-        return F.struct(kind.alias("kind"), canonical.alias("canonical"), spelling.alias("spelling"))
+    def part(kind: Column, canonical: Column, spelling: Column, gender: Column | None = None) -> Column:
+        return F.struct(kind.alias("kind"), canonical.alias("canonical"), spelling.alias("spelling"), (F.lit(None).cast("string") if gender is None else gender).alias("gender"))
 
     title = F.regexp_extract(mention, f"^({TITLE} )", 1)
     names = F.split(F.substring(mention, F.length(title) + 1, F.length(mention)), " ")
-    gender = F.when(F.regexp_like(title, F.lit(rf"^(?:{_MEN})\b")), "m").when(F.regexp_like(title, F.lit(rf"^(?:{_WOMEN})\b")), "f").otherwise("n")
-    script = lambda c: F.when(F.regexp_like(c, F.lit(r"\p{IsCyrillic}")), "cyrillic").otherwise("latin")
-    named = lambda c, sort: part(F.concat(F.lit("name-"), sort, F.lit("-"), script(c)), F.lower(c), c)
+    gender = F.when(F.regexp_like(title, F.lit(rf"^(?:{_MEN})\b")), "m").when(F.regexp_like(title, F.lit(rf"^(?:{_WOMEN})\b")), "f")
+    script = lambda c: reduce(lambda out, s: out.when(F.regexp_like(c, F.lit(rf"\p{{Is{s.title()}}}")), s), list(SYLLABLES)[1:], F.when(F.lit(False), "")).otherwise("latin")
+    named = lambda c, sort, gender=None: part(F.concat(F.lit(f"name-{sort}-"), script(c)), F.lower(c), c, gender)
     last = F.element_at(names, -1)
     titled = part(F.lit("title"), F.lit(""), title)
-    person = F.when(F.size(names) > 1, F.array(titled, named(names[0], gender), part(F.lit("title"), F.lit(""), F.lit(" ")), named(last, F.lit("s")))).otherwise(F.array(titled, named(last, F.lit("s"))))
+    person = F.when(F.size(names) > 1, F.array(titled, named(names[0], "g", gender), part(F.lit("title"), F.lit(""), F.lit(" ")), named(last, "s"))).otherwise(F.array(titled, named(last, "s")))
     canonical = F.when(kind.isin("phone", "card", "social", "iban"), F.lower(F.regexp_replace(mention, r"[^\p{L}0-9+]", ""))).when(kind == "email", F.lower(mention)).otherwise(mention)
     return F.when(kind == "person", person).otherwise(F.array(part(kind, canonical, mention)))
 
@@ -217,18 +225,23 @@ def _dealt(left: DataFrame, taken: DataFrame, key: str) -> DataFrame:
     return formed.withColumn("k", kth("canonical")).join(unused.withColumn("k", kth("surrogate")), [*form, "k"]).select("kind", "canonical", "surrogate")
 
 
+def _ungendered(kind: Column) -> Column:
+    return F.regexp_replace(kind, "^name-[mfn]-", "name-g-")
+
+
 def mapping(entities: DataFrame, scratch: Scratch, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
-    """``(kind, canonical, surrogate)``, one-to-one within a kind, no surrogate an entity of that kind."""
+    """``(kind, canonical, surrogate)``, one-to-one within a kind, no surrogate an entity of that kind; given names of all genders are one kind."""
     done, left, step = None, entities, 0
-    taken = entities.select("kind", F.col("canonical").alias("surrogate"))
+    apart = _ungendered(F.col("kind")).alias("kind")
+    taken = entities.select(apart, F.col("canonical").alias("surrogate"))
 
     def settle(drawn: DataFrame) -> bool:
         """Whether a surrogate stands: one that is not taken, for the first by entity among those that drew it."""
         nonlocal done, left, taken, step
-        first = drawn.groupBy("kind", "surrogate").agg(F.min("canonical").alias("canonical"))
-        stands = scratch.put(first.join(taken, ["kind", "surrogate"], "left_anti").select("kind", "canonical", "surrogate"), f"round-{step}")
+        first = drawn.groupBy(apart, "surrogate").agg(F.min(F.struct("canonical", F.col("kind").alias("own"))).alias("first"))
+        stands = scratch.put(first.join(taken, ["kind", "surrogate"], "left_anti").select(F.col("first.own").alias("kind"), "first.canonical", "surrogate"), f"round-{step}")
         done = stands if done is None else done.unionByName(stands)
-        taken = taken.unionByName(stands.select("kind", "surrogate"))
+        taken = taken.unionByName(stands.select(apart, "surrogate"))
         left = scratch.put(left.join(stands.select("kind", "canonical"), ["kind", "canonical"], "left_anti"), f"left-{step}")
         step += 1
         return not stands.isEmpty()
@@ -256,18 +269,29 @@ def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key
     found = rows.select("id", "th", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("pos", "mention")).distinct()
     parted = found.select("id", "th", "pos", F.posexplode(parts_of(F.col("mention"), kind_of(F.col("mention")))).alias("nth", "part")).select("id", "th", "pos", "nth", "part.*")
     mentions = scratch.put(parted, "mentions")
-    entities = scratch.put(mentions.where("kind <> 'title'").select("kind", "canonical").distinct(), "entities")
-    surrogates = scratch.put(mapping(entities, scratch, key), "mapping")
+    told = mentions.where("kind <> 'title'").groupBy("kind", "canonical").agg(F.min("gender").alias("a"), F.max("gender").alias("b"))
+    gender = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("n")
+    own = F.when(F.col("kind").startswith("name-g-"), F.concat(F.lit("name-"), gender, F.substr("kind", F.lit(7)))).otherwise(F.col("kind"))
+    entities = scratch.put(told.select(own.alias("kind"), "canonical"), "entities")
+    surrogates = scratch.put(mapping(entities, scratch, key), "mapping").withColumn("kind", _ungendered(F.col("kind")))
     # a hot entity's mentions are split by adaptive execution: both sides are plain exchanges
     joined = mentions.join(surrogates, ["kind", "canonical"], "left")
     written = F.when(F.col("kind") == "title", F.col("spelling")).otherwise(render(F.col("spelling"), F.col("kind"), F.col("surrogate")))
-    of_doc = joined.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("pos", "nth", written.alias("written")))).alias("parts"))
+    of_doc = joined.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("pos", "nth", written.alias("written"), F.when(F.col("kind").startswith("name-"), F.col("spelling")).alias("name")))).alias("parts"))
     joined_rows = rows.join(of_doc, ["id", "th"], "left")
-    gaps = F.split("text", PATTERN, -1)
+    # names found after a title go where the document says them without one, too; the longer ones are tried first
+    names = F.array_distinct(F.transform(F.filter("parts", lambda p: p["name"].isNotNull()), lambda p: F.struct((-F.length(p["name"])).alias("n"), p["name"].alias("name"))))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform(F.array_sort(names), lambda n: n["name"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    cut = joined_rows.withColumn("gaps", F.when(F.col("parts").isNotNull(), F.split("text", PATTERN, -1))).withColumn("names", F.when(F.size(names) > 0, pattern))
+    name_of = lambda said: F.get(F.filter("parts", lambda p: p["name"] == said), F.lit(0))["written"]
+    said = lambda g: F.regexp_extract_all(g, F.col("names"), F.lit(0))
+    unnamed = lambda g: F.array_join(F.zip_with(F.split(g, F.col("names"), -1), said(g), lambda t, n: F.concat(t, F.coalesce(name_of(n), F.lit("")))), "")
+    cut = cut.withColumn("untitled", F.when(F.col("names").isNotNull(), F.size(F.flatten(F.transform("gaps", said)))).otherwise(0))
+    cut = cut.withColumn("gaps", F.when(F.col("names").isNotNull(), F.transform("gaps", unnamed)).otherwise(F.col("gaps")))
     within = lambda i: F.array_join(F.transform(F.filter("parts", lambda p: p["pos"] == i), lambda p: p["written"]), "")
-    text = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, within(i))), "")
-    return joined_rows.select(
+    text = F.array_join(F.transform("gaps", lambda g, i: F.concat(g, within(i))), "")
+    return cut.select(
         id_of().alias("id"),
         F.when(F.col("parts").isNull(), F.col("text")).otherwise(text).alias("text"),
-        F.coalesce(F.size(F.array_distinct(F.transform("parts", lambda p: p["pos"]))), F.lit(0)).cast("long").alias("n_entities"),
+        (F.coalesce(F.size(F.array_distinct(F.transform("parts", lambda p: p["pos"]))), F.lit(0)) + F.col("untitled")).cast("long").alias("n_entities"),
     )

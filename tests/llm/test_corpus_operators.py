@@ -295,6 +295,16 @@ def test_names_keep_gender_and_script(replaced):
     assert re.fullmatch("[А-Яа-я]+", ivan) and re.fullmatch("[А-Яа-я]+", petrov)
 
 
+def test_names_agree_without_titles_and_in_other_scripts(spark):
+    texts = ["Mr. John Smith came. John Smith left, Smith's hat stayed; Smithson, John.", "Dr. John Smith and Dr. Νίκος Παπάς; mail νίκος@παπάς.ελ", "Smith and John are not known here."]
+    got = {r.id: (r.text, r.n_entities) for r in surrogates.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    john, smith = re.match(r"Mr\. (\w+) (\w+) came", got[0][0]).groups()
+    assert john != "John" and smith != "Smith" and got[0] == (f"Mr. {john} {smith} came. {john} {smith} left, {smith}'s hat stayed; Smithson, {john}.", 5)
+    greek = "[\u0370-\u03ff]+"
+    assert re.fullmatch(rf"Dr\. {john} {smith} and Dr\. {greek} {greek}; mail {greek}@{greek}\.ελ", got[1][0]) and "Νίκος" not in got[1][0]
+    assert got[2] == (texts[2], 0)
+
+
 def test_one_to_one_even_where_names_run_short(spark, monkeypatch):
     monkeypatch.setitem(surrogates.SYLLABLES, "latin", ["ba", "do"])
     names = [(f"name-s-latin", f"name{i}") for i in range(300)] + [("name-s-latin", "babason")]
