@@ -3,7 +3,8 @@
 A text is cut by the vocabulary's pattern. Each distinct piece becomes token-position rows, first one row a
 byte; every round joins a word's adjacent rows to the merge table, contracts the word's leftmost pair of
 least rank, and passes a word on as done once no pair joins. Ordered aggregation gives the ids and, by a
-join to the vocabulary, the decoded bytes.
+join to the vocabulary, the decoded bytes, which are compared with the piece. A text's decoded bytes are looked
+up from all its ids, put together.
 
 Rounds are as many as the merges of a batch's longest word, so long words are treated apart: pieces are
 first cut between bytes that no token holds side by side (no merge crosses there), and what is still over
@@ -107,6 +108,7 @@ class Vocabulary:
                 self.together[t[i - 1] << 8 | t[i]] = True
                 if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None:
                     merges.append((a, b, r))
+        self.spelling = {b"%d" % r: t for t, r in ranks.items()}  # bytes of each id as it is written
         self.find = spelt(pattern).findall
         self.words = Words(self.resolve, b" ", most, find=self.find)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False})
@@ -160,9 +162,11 @@ class Vocabulary:
         return [done[ps[0]][0] if len(ps) == 1 else b" ".join([done[p][0] for p in ps]) for ps in split]
 
     def texts(self, raw: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """Ids and decoded bytes of each text: ``resolve`` has seen that each part decodes to itself."""
-        for t, values in zip(raw, self.words.values(raw), strict=True):
-            yield b" ".join(filter(None, values)), t.encode()
+        """Ids of each text, and the bytes that these very ids decode to."""
+        spelling = self.spelling.__getitem__
+        for values in self.words.values(raw):
+            ids = b" ".join(filter(None, values))
+            yield ids, b"".join(map(spelling, ids.split()))
 
 
 _VOCABULARIES: dict[tuple[str, str], Vocabulary] = {}

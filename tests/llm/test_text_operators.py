@@ -267,3 +267,16 @@ def test_empty_tables(spark, empty, tmp_path):
     assert quality.scores(empty, trees).count() == 0
     tokenfile.write(empty, BPE, f"file://{tmp_path}/ids")
     assert tokenfile.read(spark, f"file://{tmp_path}/ids").count() == 0
+
+
+def test_decoded_bytes_come_from_the_ids(tmp_path, monkeypatch):
+    import base64
+
+    from chartloom.llm import bytebpe
+
+    path = tmp_path / "tokens"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate([*(bytes([i]) for i in range(256)), b"ab"])))
+    v = bytebpe.Vocabulary(str(path), r" ?\S+|\s+")
+    assert list(v.texts(["ab cab", ""])) == [(b"256 32 99 256", b"ab cab"), (b"", b"")]
+    monkeypatch.setattr(v.words, "values", lambda raw: [[b"256", b"97"] for _ in raw])
+    assert list(v.texts(["ab x"])) == [(b"256 97", b"aba")]
