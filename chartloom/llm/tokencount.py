@@ -6,19 +6,23 @@ of prefix i: the pair must encode to itself. So one pass over the characters giv
 prefix, which need not grow with its length, and a budget or truncation question is a lookup. No text is
 encoded again.
 
-No piece spans a boundary from another character to a space, so the spaces cut a text into words whose
-counts add up, and each distinct word is worked out once per worker (the memory is emptied when full).
+No piece spans a boundary from another character to a space, holds a newline, or has one of ``MARKS`` behind
+a letter, so texts are cut there into words whose counts add up (a vocabulary with such pieces is refused). A
+worker remembers the counts at all prefixes of each distinct word, within a bound in bytes. The program runs
+over all new words of a batch at once, place by place, in numpy; words longer than ``WIDE`` go by themselves.
+A text within the budget fits as a whole; where one is beyond it, the counts at all its prefixes are laid out.
+
 Runs of spaces are counted by the vocabulary's longest runs; the space before a word belongs to the word
 unless the word's first token leaves it alone.
 
 Edge cases: null or empty texts have no token. Strings that look like special tokens are plain text, as in
 the library; characters without a piece count one token per UTF-8 byte. Malformed UTF-8 is replaced by
-U+FFFD. Null ids stay null, repeated rows are counted alike, an empty table gives an empty result.
+U+FFFD. Texts of any length are handled whole, in time and memory that grow with their length. Null ids stay
+null, repeated rows are counted alike, an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,36 +30,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import id_of, record, slices, texts
+from .parts import MARKS, MOST, Memory, Runs, Table, blocks, cut, gather, spelling, starts
 
 LIMIT = 4096
 MARK = "▁"  # stands for a space
-#: Distinct words remembered by a worker.
-WORDS = 400_000
-#: States of beginnings are kept at multiples of so many characters.
-STEM = 3
-
+#: Characters of the longest word that is counted together with others, pairs of tokens that are remembered.
+WIDE, PAIRS = 40, 1 << 20
 
-class Prefixes(dict):
-    """Prefix counts under one sentence-piece model of kind BPE with byte fallback and a dummy space.
 
-    As a dictionary it holds words seen: their counts as unsigned 16-bit numbers, none if those overflow.
-    """
+class Prefixes:
+    """Prefix counts under one sentence-piece model of kind BPE with byte fallback and a dummy space."""
 
-    def __init__(self, path: str, most: int = WORDS):
-        super().__init__()
+    def __init__(self, path: str, most: int = MOST):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         plain = [i for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))]
         self.rank = {model.id_to_piece(i): (-model.get_score(i), i) for i in plain}
-        if any(MARK in p.lstrip(MARK) for p in self.rank):
-            raise ValueError("a piece spans a space")
+        if any(MARK in p.lstrip(MARK) or "\n" in p or any(a.isalpha() and b in MARKS for a, b in zip(p, p[1:], strict=False)) for p in self.rank):
+            raise ValueError("a piece spans a place where texts are cut")
         self.longest = max(map(len, self.rank))
-        self.ends = {p[i:]: False for p in self.rank for i in range(len(p))} | dict.fromkeys(self.rank, True)
-        self.old: dict[str, bytes] = {}
-        self.stems: dict[str, tuple[list[int], list[str]]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.most = most
+        self.spelt = ["", *self.rank]  # tokens by number; 0: none, or bytes
+        self.number = {p: i for i, p in enumerate(self.spelt)}
+        # ends of pieces, read backwards, are paths from node 0
+        nodes, self.piece, keys = {"": 0}, [0], []
+        for p in self.rank:
+            for i in range(len(p) - 1, -1, -1):
+                if (end := p[i:]) not in nodes:
+                    keys.append(nodes[p[i + 1 :]] << 21 | ord(p[i]))
+                    nodes[end] = len(nodes)
+                    self.piece.append(0)
+            self.piece[nodes[p]] = self.number[p]
+        self.nodes, self.step = nodes, Table()
+        self.step.put(np.array(keys, dtype=np.uint64), np.arange(1, len(nodes)))
+        self.piece = np.array(self.piece, dtype=np.int64)
+        self.pairs = Table()
+        self.memory = Memory(self.resolve, np.uint16, most)
         self.runs = [0]
         while len(self.runs) <= 2 * self.longest:
             self.runs.append(len(self.merge(MARK * len(self.runs))))
@@ -73,94 +83,155 @@ class Prefixes(dict):
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _fits(self, last: str, token: str) -> bool:
-        """Whether ``token`` may follow ``last`` (may begin, if that is empty); remembered in ``pairs``."""
-        if len(self.pairs) > self.most:
-            self.pairs.clear()
-        ok = self.pairs[last, token] = self.merge(last + token) == ([last, token] if last else [token])
-        return ok
+    def fits(self, last: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Whether each ``token`` may follow its ``last`` (may begin, if that is 0); remembered in ``pairs``."""
+        key = last.astype(np.uint64) << np.uint64(32) | token.astype(np.uint64)
+        known = self.pairs.get(key)
+        if (known < 0).any():
+            new = np.unique(key[known < 0])
+            if self.pairs.held + len(new) > PAIRS:
+                self.pairs, known = Table(), np.full(len(key), -1)
+                new = np.unique(key)
+            ok = []
+            for a, b in zip((new >> np.uint64(32)).tolist(), (new & np.uint64(0xFFFFFFFF)).tolist(), strict=True):
+                a, b = self.spelt[a], self.spelt[b]
+                ok.append(self.merge(a + b) == ([a, b] if a else [b]))
+            self.pairs.put(new, np.array(ok, dtype=np.int32))
+            known = self.pairs.get(key)
+        return known > 0
 
     def spaces(self, k: int) -> int:
         """Tokens of k spaces in a row."""
         turn = self.longest
         return self.runs[k] if k <= turn else k // turn + self.runs[k % turn]
 
-    def _states(self, s: str) -> tuple[list[int], list[str]]:
-        """For each prefix of ``s``: its tokens, and the last of them (empty: none, or bytes)."""
-        cut = min((len(s) - 1) // STEM, 4) * STEM
-        if cut:  # words share beginnings, whose states are kept
-            if (stem := self.stems.get(s[:cut])) is None:
-                if len(self.stems) >= self.most // 4:
-                    self.stems.clear()
-                stem = self.stems[s[:cut]] = self._states(s[:cut])
-            count, last = stem[0].copy(), stem[1].copy()
-        else:
-            count, last = [0], [""]
-        ends, pairs = self.ends.get, self.pairs.get
-        for j in range(cut + 1, len(s) + 1):
-            i = j - 1
-            while i >= 0:
-                piece = ends(t := s[i:j])
-                if piece is None:  # no longer piece ends here either
-                    i = -1
-                    break
-                if piece and ((ok := pairs((last[i], t))) or (ok is None and self._fits(last[i], t))):
+    def _states(self, s: str) -> tuple[list[int], list[int]]:
+        """For each prefix of ``s``: its tokens, and the number of the last of them."""
+        count, last = [0], [0]
+        code = [ord(c) for c in s]
+        one = lambda x: np.array([x], dtype=np.uint64)
+        known: dict[tuple[int, int], bool] = {}
+        ends, piece = self.nodes.get, self.piece
+        for j in range(1, len(s) + 1):
+            i, token = j - 1, 0
+            while i >= 0 and j - i <= self.longest:
+                if (node := ends(s[i:j])) is None:  # no longer piece ends here either
                     break
+                if (p := int(piece[node])) and (ok := known.get((last[i], p))) is not False:
+                    if ok is None:
+                        ok = known[last[i], p] = bool(self.fits(one(last[i]), one(p))[0])
+                    if ok:
+                        token = p
+                        break
                 i -= 1
-            if i >= 0:
-                count.append(count[i] + 1)
-                last.append(t)
-            else:
-                count.append(count[-1] + len(s[j - 1].encode()))
-                last.append("")
+            count.append(count[i] + 1 if token else count[-1] + len(chr(code[j - 1]).encode()))
+            last.append(token)
         return count, last
 
-    def word(self, w: str) -> tuple[np.ndarray, np.ndarray]:
-        """For a space and the first 0.. characters of ``w``: the tokens, and whether the space stays alone."""
-        count, last = self._states(MARK + w)
-        alone = [False]
-        for j in range(1, len(count)):
-            i = j - (len(last[j]) or 1)
-            alone.append(alone[i] if i else j == 1)
-        return np.array(count[1:]), np.array(alone[1:])
-
-    def __missing__(self, w: str) -> bytes:
-        if (packed := self.old.get(w)) is None:
-            count = self._states(MARK + w)[0]
-            del count[0]
-            packed = array("H", count).tobytes() if count[-1] < 1 << 16 else b""
-        if len(self) >= self.most:  # words not met since the last time go
-            self.old = dict(self)
-            self.clear()
-        self[w] = packed
-        return packed
+    def _together(self, strings: list[str]) -> np.ndarray:
+        """Counts at all prefixes of strings of one length each, in order of length; a row a place, a column a string."""
+        size = np.array([len(s) for s in strings])
+        wide = int(size[-1]) if len(size) else 0
+        codes = np.frombuffer("".join(strings).encode("utf-32-le"), dtype="<u4")
+        char = np.zeros((wide, len(strings)), dtype=np.uint64)
+        column = np.repeat(np.arange(len(strings)), size)
+        char[np.arange(len(codes)) - np.repeat(starts(size), size), column] = codes
+        utf8 = (1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000)).astype(np.int64)
+        count, last = np.zeros((wide + 1, len(strings)), dtype=np.int64), np.zeros((wide + 1, len(strings)), dtype=np.int64)
+        for j in range(1, wide + 1):
+            first = int(np.searchsorted(size, j))  # shorter strings have ended
+            open_, node = np.arange(first, len(strings)), np.zeros(len(strings) - first, dtype=np.int64)
+            count[j, first:] = count[j - 1, first:] + utf8[j - 1, first:]
+            for i in range(j - 1, max(-1, j - 1 - self.longest), -1):
+                node = self.step.get(node.astype(np.uint64) << np.uint64(21) | char[i, open_]).astype(np.int64)
+                alive = node >= 0
+                open_, node = open_[alive], node[alive]
+                if not len(open_):
+                    break
+                token = self.piece[node]
+                tried = np.flatnonzero(token)
+                took = tried[self.fits(last[i, open_[tried]], token[tried])]
+                count[j, open_[took]] = count[i, open_[took]] + 1
+                last[j, open_[took]] = token[took]
+                stay = np.ones(len(open_), dtype=bool)
+                stay[took] = False
+                open_, node = open_[stay], node[stay]
+        return count
 
-    def counts(self, text: str) -> np.ndarray:
-        """Token counts of the prefixes of 0, 1, ... all characters."""
-        if not text:
-            return np.zeros(1, dtype=np.int64)
-        text = text.replace(MARK, " ")
-        words = text.split(" ")
-        if "" not in words:  # no two spaces meet, counting the one the model puts in front
-            parts = list(map(self.__getitem__, words))
-            if all(parts):
-                flat = np.frombuffer(b"".join(parts), dtype=np.uint16).astype(np.int64)
-                lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 2
-                ends = flat[np.cumsum(lengths) - 1]
-                flat += np.repeat(np.cumsum(ends) - ends, lengths)
-                flat[0] = 0  # the empty prefix gets no space in front
-                return flat
+    def resolve(self, parts: list[str]) -> Runs:
+        """For each part the counts at its prefixes of one, two, ... characters."""
+        spelt = [spelling(p).replace(" ", MARK) for p in parts]
+        size = np.array([len(s) for s in spelt], dtype=np.int64)
+        begin, out = starts(size), np.zeros(int(size.sum()), dtype=np.int64)
+        short = np.argsort(size, kind="stable")
+        short = short[size[short] <= WIDE]
+        for some in blocks(short.tolist(), lambda k: int(size[k]) + 1, 1 << 19):
+            at = np.array(some)
+            count = self._together([spelt[k] for k in some])
+            for j in range(1, len(count)):
+                which = np.flatnonzero(size[at] >= j)
+                out[begin[at[which]] + j - 1] = count[j, which]
+        for k in np.flatnonzero(size > WIDE).tolist():
+            out[begin[k] : begin[k] + size[k]] = self._states(spelt[k])[0][1:]
+        if len(out) and out.max() >= 1 << 16:  # remembered words are short: this is a very long one
+            return size, out
+        return size, out.astype(np.uint16)
+
+    def _spaced(self, text: str) -> np.ndarray:
+        """Counts at all prefixes of a text in which spaces may meet."""
         out, base, run = [], 0, 0  # base: tokens before the run of spaces that is open
-        for w in words:
+        for w in text.split(" "):
             run += 1
-            count, alone = self.word(w)
-            out.append(np.where(alone, self.spaces(run) - 1, self.spaces(run - 1)) + base + count)
+            count, last = self._states(MARK + w)
+            alone = [False]  # whether the space in front stays alone
+            for j in range(1, len(count)):
+                i = j - (len(self.spelt[last[j]]) or 1)
+                alone.append(alone[i] if i else j == 1)
+            out.append(np.where(alone[1:], self.spaces(run) - 1, self.spaces(run - 1)) + base + np.array(count[1:]))
             if w:
                 base, run = int(out[-1][-1]), 0
         flat = np.concatenate(out)
         flat[0] = 0
         return flat
 
+    def counted(self, texts: list[str], limit: int, store: bool) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Tokens of each text, characters of its longest prefix within ``limit``; with ``store`` all prefix counts."""
+        texts = [t.replace(MARK, " ") for t in texts]
+        spaced = np.array([t[:1] == " " or "  " in t for t in texts], dtype=bool)
+        strings, order, ends = cut([t for t, s in zip(texts, spaced, strict=True) if not s], lead="")
+        size, flat = self.memory.look(strings)
+        begin = starts(size)
+        each = np.zeros(len(size), dtype=np.int64)
+        each[size > 0] = flat[(begin + size - 1)[size > 0]]
+        tokens, chars = np.concatenate([[0], np.cumsum(each[order])]), np.concatenate([[0], np.cumsum(size[order])])
+        bound = np.concatenate([[0], ends])
+        total, fit_chars, prefixes = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64), []
+        total[~spaced], fit_chars[~spaced] = np.diff(tokens[bound]), np.diff(chars[bound]) - 1  # the space in front is not the text's
+        parts = iter(zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True))
+        for k, t in enumerate(texts):
+            counts = None
+            if spaced[k]:
+                counts = self._spaced(t)
+                total[k] = counts[-1]
+            else:
+                a, b = next(parts)
+                if not t:
+                    total[k] = fit_chars[k] = 0
+                    counts = np.zeros(1, dtype=np.int64)
+                elif store or total[k] > limit:
+                    which = order[a:b]
+                    counts = gather(begin[which], size[which], flat).astype(np.int64) + np.repeat(tokens[a:b] - tokens[a], size[which])
+                    counts[0] = 0  # the empty prefix gets no space in front
+            if counts is not None:
+                fit_chars[k] = fit(counts, limit)
+            if store:
+                prefixes.append(counts)
+        return total, fit_chars, prefixes
+
+    def counts(self, text: str) -> np.ndarray:
+        """Token counts of the prefixes of 0, 1, ... all characters."""
+        return self.counted([text], 0, True)[2][0]
+
 
 def fit(counts: np.ndarray, budget: int) -> int:
     """Characters of the longest prefix that has at most ``budget`` tokens."""
@@ -187,9 +258,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
         for whole in batches:
             for b in slices(whole, 1):
                 raw = b.column(1).to_pylist()
-                got = [m.counts(t.decode("utf-8", "replace")) for t in raw]
-                cols = [b.column(0), pa.array(map(len, raw), pa.int64()), pa.array([int(c[-1]) for c in got], pa.int64()), pa.array([fit(c, limit) for c in got], pa.int64())]
-                yield record(names, *cols, *([pa.array(got, pa.list_(pa.int64()))] if store else []))
+                total, fits, counts = m.counted([t.decode("utf-8", "replace") for t in raw], limit, store)
+                cols = [b.column(0), pa.array(map(len, raw), pa.int64()), pa.array(total), pa.array(fits)]
+                yield record(names, *cols, *([pa.array(counts, pa.list_(pa.int64()))] if store else []))
 
     names = ["id", "n_bytes", "n_tokens", "fit_chars"] + ["prefix_tokens"] * store
     schema = "id long, n_bytes long, n_tokens long, fit_chars long" + ", prefix_tokens array<long>" * store
