@@ -1,20 +1,20 @@
 """Token-id files: texts encoded, laid down in ascending id order as Simple-8b blocks, and read back.
 
-Documents are dealt by ranges of ids and sorted, so part k of the file holds smaller ids than part k + 1;
-each task encodes its texts in order and closes a block at ``IDS`` ids. A block is a row of the table that
+Documents are dealt by ranges of (id, hash of the text, place in the input) and sorted, so part k of the file holds
+no larger ids than part k + 1 and one id that many rows have is spread over parts; each task encodes its texts in order and closes a block at ``IDS`` ids. A block is a row of the table that
 Spark's own writer commits: part, block, ids of the part before it, ids in it, the documents' ids and the
 payload of ``simple8b``. So a lost executor's task is simply run again, and any store that Spark writes to
 will do. Where a document starts in the whole file follows from the parts' totals, one number a part.
 
 Edge cases: a null or empty text has the end id alone. A null id sorts first and is null again when read.
-Repeated ids follow each other, ordered by text. An empty table gives an empty file. A document longer than
+Repeated ids follow each other, ordered by
+a hash of the text. An empty table gives an empty file. A document longer than
 a block gets a block of its own. Malformed UTF-8 is replaced by U+FFFD.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import id_of, partitions, record, slices, texts
-from .words import Words
+from .common import id_of, keyed, partitions, record, slices
+from .parts import MOST, Runs, Words, gather, starts
 
-#: Ids at which a block is closed, words that a worker remembers, and the id after each document.
-IDS, WORDS, END = 1 << 16, 700_000, 0
+#: Ids at which a block is closed, and the id after each document.
+IDS, END = 1 << 16, 0
+#: Words that the library encodes as one text.
+MANY = 200
 NAMES = ("part", "block", "before", "n_ids", "ids", "payload")
 SCHEMA = "part int, block int, before long, n_ids long, ids array<long>, payload binary"
 
@@ -37,7 +39,7 @@ SCHEMA = "part int, block int, before long, n_ids long, ids array<long>, payload
 class Encoder:
     """A tokenizers file whose byte-level pattern lets words be encoded apart."""
 
-    def __init__(self, path: str, most: int = WORDS):
+    def __init__(self, path: str, most: int = MOST):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -47,53 +49,47 @@ class Encoder:
         self.begins = np.zeros(size, dtype=bool)  # tokens that begin with a space
         for token, i in self.library.get_vocab().items():
             self.begins[i] = token.startswith("Ġ")
-        self.newline = np.zeros(size, dtype=bool)
-        self.newline[self.library.get_vocab()["Ċ"]] = True
-        self.one_word = re.compile(r"\S*").fullmatch
+        self.newline = self.library.get_vocab()["Ċ"]
         special = tuple(str(t.content) for t in self.library.get_added_tokens_decoder().values())
-        self.words = Words(self._values, b"", most, special)
+        self.words = Words(self.resolve, self.kind, most, special)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, dtype=self.kind) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, words: list[str], between: str, begins: np.ndarray) -> list[bytes]:
-        """Words encoded as texts of many; ``begins`` tells the tokens at which one begins (or, for newlines, lies between two)."""
-        runs = [between.join(words[i : i + 200]) for i in range(0, len(words), 200)]
-        ids = self._ids(runs)
-        if between:  # a newline ends each text, so that all of them may be cut alike
-            tail = np.flatnonzero(begins).astype(self.kind)[:1]
-            ids = [x for run in ids for x in (run, tail)]
-        ids = np.concatenate([np.empty(0, self.kind), *ids])
-        size, cuts = self.kind.itemsize, np.flatnonzero(begins[ids])
-        data = ids.tobytes()
-        if between:
-            ends = (cuts * size).tolist()
-            starts = [0, *(e + size for e in ends[:-1])]
-        else:
-            starts = (cuts * size).tolist()
-            ends = [*starts[1:], len(data)]
-        if len(starts) != len(words):
-            raise ValueError("this vocabulary doesn't keep white space apart")
-        return [data[a:b] for a, b in zip(starts, ends, strict=True)]
-
-    def _values(self, asked: list[str]) -> list[bytes]:
-        """Parts with a space in front follow each other; those without white space stand on lines."""
-        out: list[bytes] = [b""] * len(asked)
-        spaced, bare, rest = [], [], []
-        for i, w in enumerate(asked):
-            if " " in w[1:] or w[-1].isspace() or (w[0] != " " and not self.one_word(w)):
-                rest.append(i)
+    def _each(self, strings: list[str]) -> Runs:
+        got = self._ids(strings)
+        return np.array([len(g) for g in got], dtype=np.int64), np.concatenate([np.empty(0, self.kind), *got])
+
+    def _many(self, words: list[str], spaced: bool) -> Runs:
+        """The ids of words, of many encoded as one text: after the spaces they begin with, or on lines."""
+        sizes, flat = [], []
+        runs = [words[i : i + MANY] for i in range(0, len(words), MANY)]
+        joined = ["".join(r) if spaced else "\n".join([*r, ""]) for r in runs]
+        for run, text, ids in zip(runs, joined, self._ids(joined), strict=True):
+            cuts = np.flatnonzero(self.begins[ids] if spaced else ids == self.newline)
+            if len(cuts) != len(run) or len(text.split()) != len(run):  # some word has white space of its own
+                size, ids = self._each(run)
+            elif spaced:
+                size = np.diff(cuts, append=len(ids))
             else:
-                (spaced if w[0] == " " else bare).append(i)
-        for which, between, begins in ((spaced, "", self.begins), (bare, "\n", self.newline)):
-            for i, v in zip(which, self._joined([asked[i] for i in which], between, begins), strict=True) if which else ():
-                out[i] = v
-        for i, ids in zip(rest, self._ids([asked[i] for i in rest]), strict=True):
-            out[i] = ids.tobytes()
-        return out
+                size, ids = np.diff(cuts, prepend=-1) - 1, np.delete(ids, cuts)
+            sizes.append(size)
+            flat.append(ids)
+        return np.concatenate([np.empty(0, np.int64), *sizes]), np.concatenate([np.empty(0, self.kind), *flat])
+
+    def resolve(self, asked: list[str]) -> Runs:
+        """The ids of each string. Words with a space in front follow each other; those without stand on lines."""
+        kinds = [0 if w[:1] == " " and len(w) > 1 and " " not in w[1:] else 1 if w and " " not in w and not w[0].isspace() else 2 for w in asked]
+        where = [[i for i, k in enumerate(kinds) if k == kind] for kind in range(3)]
+        spaced, bare, rest = ([asked[i] for i in at] for at in where)
+        sizes, flats = zip(self._many(spaced, True), self._many(bare, False), self._each(rest), strict=True)
+        size, at = np.concatenate(sizes), np.empty(len(asked), dtype=np.int64)
+        at[np.concatenate([np.array(x, dtype=np.int64) for x in where])] = np.arange(len(asked))
+        return size[at], gather(starts(size)[at], size[at], np.concatenate(flats))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(b"".join(v), dtype=self.kind) for v in self.words.values(texts)]
+        size, ids = self.words.texts(texts)
+        return np.split(ids, np.cumsum(size)[:-1]) if texts else []
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -130,12 +126,10 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = END, id_col: st
         if held:
             yield close()
 
-    rows = texts(docs, id_col, text_col)
-    n = partitions(docs.sparkSession)
-    # range bounds from the ids alone: a range partitioning by Spark would read the texts to sample them
-    bounds = rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else None
-    part = F.size(F.filter(F.lit(sorted(set(bounds))), lambda b: b < F.col("id"))) if bounds else F.lit(0)
-    ranged = rows.repartitionById(n, part).sortWithinPartitions("id", "text")
+    # rows of one id, or without any, are told apart by their text, and equal rows by their place in the input
+    rows = keyed(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    order = ("id", "th", "row")
+    ranged = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("id", "text")
     ranged.mapInArrow(work, SCHEMA).write.option("compression", "none").mode("overwrite").parquet(path)
 
 
