@@ -26,13 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import id_of, record, slices, texts
-from .words import Words, spelt
+from .parts import MOST, Memory, Runs, Table, Words, blocks, gather, joined, layout, spelt, starts
 
-#: Words remembered by a worker (twice as many at most), bytes of words given to DuckDB at once, longest word to contract pair by pair.
-WORDS, BLOCK, LONG = 700_000, 1 << 17, 96
+#: Bytes of words given to DuckDB at once, longest word to contract pair by pair, ids decoded at once.
+BLOCK, LONG, AT_ONCE = 1 << 17, 96, 1 << 19
 
 #: Positions of a word stay 0, 1, ... A row knows the next row's token; ``pair`` has what the two would make
 #: above its position, so that the least one is the leftmost of least rank.
@@ -86,39 +87,44 @@ WITH RECURSIVE state(w, pos, tok, live) AS (
 SELECT w, pos, tok FROM state WHERE NOT live
 """
 
-DECODED = """
-SELECT e.w, string_agg(e.tok::VARCHAR, ' ' ORDER BY e.pos) AS ids, unhex(string_agg(v.hex, '' ORDER BY e.pos)) AS bytes
-FROM encoded e JOIN vocabulary v ON v.tok = e.tok GROUP BY e.w ORDER BY e.w
-"""
+#: Ids are put in order again, and each one's bytes come from the vocabulary.
+DECODED = "SELECT list(v.bytes ORDER BY g.pos) AS bytes FROM given g JOIN vocabulary v ON v.tok = g.tok"
 
 
 class Vocabulary:
     """Ranks, the merge table and the words met so far, in one DuckDB connection."""
 
-    def __init__(self, path: str, pattern: str, most: int = WORDS):
+    def __init__(self, path: str, pattern: str, most: int = MOST):
         import duckdb
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.together = np.zeros(1 << 16, dtype=bool)  # byte pairs that some token holds
-        merges = []
+        merges, nodes, keys, ends = [], {b"": 0}, [], [False]
         for t, r in ranks.items():
             for i in range(1, len(t)):
-                self.together[t[i - 1] << 8 | t[i]] = True
                 if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None:
                     merges.append((a, b, r))
-        self.spelling = {b"%d" % r: t for t, r in ranks.items()}  # bytes of each id as it is written
+            for i in range(1, len(t) + 1):
+                if t[:i] not in nodes:
+                    keys.append(nodes[t[: i - 1]] << 8 | t[i - 1])
+                    nodes[t[:i]] = len(nodes)
+                    ends.append(False)
+            ends[nodes[t]] = True
+        self.ends, self.step = np.array(ends), Table()  # beginnings of tokens are paths from node 0
+        self.step.put(np.array(keys, dtype=np.uint64), np.arange(1, len(nodes)))
+        self.decimals = pa.array(map(str, range(max(ranks.values()) + 1)), pa.large_string())
         self.find = spelt(pattern).findall
-        self.words = Words(self.resolve, b" ", most, find=self.find)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False})
+        self.words = Words(self.resolve, np.int32, most, find=self.find)
+        self.stretches = Memory(self.contract, np.int32, most, pa.large_binary())
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
         a, b, tok = (pa.array(c, pa.int32()) for c in zip(*merges, strict=True))
         given = pa.table({"a": a, "b": b, "tok": tok})  # noqa: F841  DuckDB finds it by its name
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
-        given = pa.table({"tok": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]})  # noqa: F841
+        given = pa.table({"tok": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())})  # noqa: F841
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
 
-    def _encode(self, words: list[bytes], query: str) -> list[tuple[bytes, bytes]]:
+    def _encode(self, words: list[bytes], query: str) -> Runs:
         raw = np.frombuffer(b"".join(words), dtype=np.uint8)
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         first = np.cumsum(lengths) - lengths
@@ -127,74 +133,97 @@ class Vocabulary:
         tok, last = self.byte[raw], np.zeros(len(raw), dtype=bool)
         last[first + lengths - 1] = True
         start = pa.table({"w": w, "pos": pos, "tok": tok, "nxt": pa.array(np.roll(tok, -1), mask=last)})  # noqa: F841
-        self.db.execute(f"CREATE OR REPLACE TEMP TABLE encoded AS {query}")
-        _, ids, decoded = self.db.sql(DECODED).to_arrow_table().columns
-        return list(zip((i.encode() for i in ids.to_pylist()), decoded.to_pylist(), strict=True))
-
-    def _parts(self, piece: bytes) -> list[bytes]:
-        """The piece cut between bytes that no merge joins."""
-        b = np.frombuffer(piece, dtype=np.uint8).astype(np.int32)
-        cuts = np.flatnonzero(~self.together[b[:-1] << 8 | b[1:]]) + 1
-        at = [0, *cuts.tolist(), len(piece)]
-        return [piece[i:j] for i, j in zip(at, at[1:], strict=False)]
-
-    def encode(self, pieces: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        """For each piece its ids, as decimals joined by spaces, and the bytes they decode to."""
-        parts = {p: self._parts(p) for p in pieces if len(p) > LONG}
-        whole = sorted(pieces.difference(parts).union(*parts.values()), key=len)
-        out: dict[bytes, tuple[bytes, bytes]] = {}
-        block, held = [], 0
-        for i, part in enumerate(whole):
-            block.append(part)
-            held += len(part)
-            if i + 1 == len(whole) or held > BLOCK or len(part) <= LONG < len(whole[i + 1]):
-                out |= zip(block, self._encode(block, ROUND_ALL if len(part) > LONG else ROUND), strict=True)
-                block, held = [], 0
-        return out | {p: (b" ".join(out[x][0] for x in xs), b"".join(out[x][1] for x in xs)) for p, xs in parts.items()}
-
-    def resolve(self, asked: list[str]) -> list[bytes]:
-        """Ids of each string, as decimals joined by spaces."""
-        split = [[p.encode() for p in self.find(w)] for w in asked]
-        done = self.encode({p for ps in split for p in ps})
-        for w, ps in zip(asked, split, strict=True):
-            if b"".join([done[p][1] for p in ps]) != w.encode():
-                raise ValueError(f"the ids of {w!r} decode to something else")
-        return [done[ps[0]][0] if len(ps) == 1 else b" ".join([done[p][0] for p in ps]) for ps in split]
-
-    def texts(self, raw: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """Ids of each text, and the bytes that these very ids decode to."""
-        spelling = self.spelling.__getitem__
-        for values in self.words.values(raw):
-            ids = b" ".join(filter(None, values))
-            yield ids, b"".join(map(spelling, ids.split()))
+        w, pos, tok = (c.to_numpy() for c in self.db.sql(query).to_arrow_table().columns)
+        return np.bincount(w, minlength=len(words)), tok[np.argsort(w.astype(np.int64) << 32 | pos)]
+
+    def _begins(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Which bytes of the words begin a stretch: those that no token within the word joins to the byte before."""
+        stop, at, node = np.repeat(start + size, size), np.arange(len(raw)), np.zeros(len(raw), dtype=np.int64)
+        edge, n = np.zeros(len(raw) + 1, dtype=np.int64), 0
+        while len(at):
+            on = at + n < stop[at]
+            at, node = at[on], node[on]
+            node = self.step.get(node.astype(np.uint64) << np.uint64(8) | raw[at + n].astype(np.uint64)).astype(np.int64)
+            on = node >= 0
+            at, node, n = at[on], node[on], n + 1
+            if n > 1:  # a token of n bytes joins all its bytes
+                token = at[self.ends[node]]
+                edge += np.bincount(token + 1, minlength=len(edge)) - np.bincount(token + n, minlength=len(edge))
+        begins = np.cumsum(edge[:-1]) == 0
+        begins[start] = True
+        return begins
+
+    def contract(self, stretches: list[bytes]) -> Runs:
+        """The ids of distinct stretches, by DuckDB."""
+        order = sorted(range(len(stretches)), key=lambda i: len(stretches[i]))
+        whole = [stretches[i] for i in order]
+        short = sum(len(s) <= LONG for s in whole)
+        got = [self._encode(some, query) for group, query in ((whole[:short], ROUND), (whole[short:], ROUND_ALL)) for some in blocks(group, len, BLOCK)]
+        size, ids = (np.concatenate(x) for x in zip(*got, strict=True))
+        at = np.empty(len(order), dtype=np.int64)
+        at[order] = np.arange(len(order))
+        return size[at], gather(starts(size)[at], size[at], ids)
+
+    def encode(self, pieces: pa.Array) -> Runs:
+        """The ids of distinct pieces, put together from those of their stretches."""
+        start, size, raw = layout(pieces)
+        at = np.flatnonzero(self._begins(raw, start, size)) if len(raw) else np.empty(0, dtype=np.int64)
+        offsets = pa.py_buffer(np.append(at, len(raw)).astype(np.int64))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(at), [None, offsets, pa.py_buffer(raw)]).dictionary_encode()
+        length, ids = self.stretches.look(coded.dictionary)
+        return joined(length, ids, coded.indices, np.searchsorted(at, start + size))
+
+    def resolve(self, asked: list[str]) -> Runs:
+        """Ids of each string, its matches encoded separately."""
+        split = [self.find(w) for w in asked]
+        coded = pa.array([p for ps in split for p in ps], pa.large_string()).dictionary_encode()
+        size, ids = self.encode(coded.dictionary)
+        return joined(size, ids, coded.indices, np.cumsum([len(ps) for ps in split]))
+
+    def decode(self, size: np.ndarray, ids: np.ndarray) -> pa.Array:
+        """The bytes of each run of ``ids``; DuckDB gets a bounded number of ids at once, however long runs are."""
+        tokens = [pa.array([], pa.large_binary())]
+        for at in range(0, len(ids), AT_ONCE):
+            some = ids[at : at + AT_ONCE]
+            given = pa.table({"pos": np.arange(len(some), dtype=np.int32), "tok": some})  # noqa: F841
+            tokens.append(self.db.sql(DECODED).to_arrow_table().column(0).combine_chunks().flatten().cast(pa.large_binary()))
+        runs = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)])), pa.concat_arrays(tokens))
+        return pc.binary_join(runs, pa.scalar(b"", pa.large_binary()))
+
+    def texts(self, raw: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+        """How many ids each text has, all ids, each text's ids as decimals joined by spaces, and the bytes that they decode to."""
+        size, ids = self.words.texts(raw)
+        decimals = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)])), self.decimals.take(pa.array(ids)))
+        return size, ids, pc.binary_join(decimals, pa.scalar(" ", pa.large_string())), self.decode(size, ids)
 
 
 _VOCABULARIES: dict[tuple[str, str], Vocabulary] = {}
 
 
-def vocabulary(path: str, pattern: str, most: int = WORDS) -> Vocabulary:
+def vocabulary(path: str, pattern: str, most: int = MOST) -> Vocabulary:
     if (path, pattern) not in _VOCABULARIES:
         _VOCABULARIES[path, pattern] = Vocabulary(path, pattern, most)
     found = _VOCABULARIES[path, pattern]
-    found.words.most = most
+    found.words.memory.most = found.stretches.most = most
     return found
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, most: int = WORDS) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, most: int = MOST) -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)`` of every row; with ``keep`` also ``ids`` and ``decoded``.
 
-    ``path`` names a file of base64 tokens and ranks, the same on every executor; ``most`` bounds the words that
-    a worker remembers, about 200 bytes each and twice as many at most.
+    ``path`` names a file of base64 tokens and ranks, the same on every executor; ``most`` bounds the bytes of the
+    words that a worker remembers, and those of their stretches.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern, most)
+        digest = lambda values: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in values], pa.string())
         for whole in batches:
             for b in slices(whole, 1):
-                got = list(v.texts([t.decode("utf-8", "replace") for t in b.column(1).to_pylist()]))
-                cols = [pa.array([i.count(b" ") + 1 if i else 0 for i, _ in got], pa.int64()), *(pa.array([hashlib.sha256(g[k]).hexdigest() for g in got], pa.string()) for k in (0, 1))]
+                size, ids, decimals, decoded = v.texts([t.decode("utf-8", "replace") for t in b.column(1).to_pylist()])
+                cols = [pa.array(size), digest(decimals), digest(decoded)]
                 if keep:
-                    cols += [pa.array([list(map(int, i.split())) for i, _ in got], pa.list_(pa.int32())), pa.array([d for _, d in got], pa.binary())]
+                    cols += [pa.array(np.split(ids, np.cumsum(size)[:-1]), pa.list_(pa.int32())), decoded.cast(pa.binary())]
                 yield record(names, b.column(0), *cols)
 
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep

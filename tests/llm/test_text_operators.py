@@ -5,12 +5,13 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers as P
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chartloom.llm import bytebpe, quality, repetition, simple8b, tokencount, tokenfile, words
+from chartloom.llm import bytebpe, parts, quality, repetition, simple8b, tokencount, tokenfile
 
 from .conftest import table_of
 
@@ -78,34 +79,78 @@ def test_stored_prefixes(docs, spark):
 # --- byte-level BPE
 
 
+def agrees(v, tik, texts):
+    size, ids, decimals, decoded = v.texts(texts)
+    expected = [tik.encode_ordinary(t) for t in texts]
+    assert size.tolist() == list(map(len, expected)) and ids.tolist() == [i for e in expected for i in e]
+    assert decimals.to_pylist() == [" ".join(map(str, e)) for e in expected]
+    assert decoded.to_pylist() == [t.encode() for t in texts]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(LETTERS, min_size=1, max_size=4))
 def test_ids_as_the_library_says(tik, texts):
-    v = bytebpe.vocabulary(RANKS, P.PATTERN)
-    for t, (ids, decoded) in zip(texts, v.texts(texts), strict=True):
-        assert ids.decode() == " ".join(map(str, tik.encode_ordinary(t)))
-        assert decoded == t.encode()
+    agrees(bytebpe.vocabulary(RANKS, P.PATTERN), tik, texts)
 
 
 def test_white_space_before_newlines(tik):
     texts = ["a \nb", " \n x", "x \n\n  y\t\n z", "\n ", " ", "a  ", "\n\n\n", "a\n\n", "a \n \n b"]
-    for t, (ids, _) in zip(texts, bytebpe.vocabulary(RANKS, P.PATTERN).texts(texts), strict=True):
-        assert ids.decode() == " ".join(map(str, tik.encode_ordinary(t)))
+    agrees(bytebpe.vocabulary(RANKS, P.PATTERN), tik, texts)
 
 
 def test_long_words(tik):
     texts = ["a" * 5000, "the" * 700, "中文" * 600, "".join(chr(97 + (i * i * 7 + i) % 26) for i in range(3000)), "0123456789" * 100]
-    for t, (ids, _) in zip(texts, bytebpe.vocabulary(RANKS, P.PATTERN).texts(texts), strict=True):
-        assert ids.decode() == " ".join(map(str, tik.encode_ordinary(t)))
+    agrees(bytebpe.vocabulary(RANKS, P.PATTERN), tik, texts)
+
+
+def test_decoded_bytes_follow_the_ids():
+    v = bytebpe.vocabulary(RANKS, P.PATTERN)
+    size, ids, _, decoded = v.texts(["the first text", "", "another one"])
+    other = ids.copy()
+    other[1] = ids[0]
+    changed = v.decode(size, other).to_pylist()
+    assert changed[0] != decoded.to_pylist()[0] and changed[1:] == decoded.to_pylist()[1:]
+
+
+def test_decoding_in_several_turns(tik, monkeypatch):
+    monkeypatch.setattr(bytebpe, "AT_ONCE", 7)
+    agrees(bytebpe.vocabulary(RANKS, P.PATTERN), tik, ["a text of more ids than are decoded at once", "", "b", " and one more of them here"])
 
 
 def test_memory_of_words_is_bounded(tik):
-    v = bytebpe.Vocabulary(RANKS, P.PATTERN, most=50)
+    v = bytebpe.Vocabulary(RANKS, P.PATTERN, most=200_000)
     for k in range(6):
-        texts = [" ".join(f"w{k}x{i}," for i in range(40)) + " the and of.\nSo"]
-        for t, (ids, _) in zip(texts, v.texts(texts), strict=True):
-            assert ids.decode() == " ".join(map(str, tik.encode_ordinary(t)))
-    assert len(v.words.met) < 200
+        agrees(v, tik, [" ".join(f"w{k}x{i}," for i in range(1500)) + " the and of.\nSo"])
+    assert v.words.memory.bytes() <= 200_000 and v.stretches.bytes() <= 200_000
+
+
+def test_long_words_are_not_remembered(pieces):
+    """Texts without a space: what a worker holds does not grow with them."""
+    texts = ["".join(chr(0x4E00 + (i * k) % 2000) for i in range(5000)) for k in range(3, 11)]
+    m = tokencount.Prefixes(PIECES)
+    assert m.counted(texts, 100, False)[0].tolist() == [len(pieces.encode(t)) for t in texts]
+    e = tokenfile.Encoder(BPE)
+    e.encode(texts)
+    empty = parts.Memory(None, "u2").bytes()
+    assert m.memory.bytes() < empty + 2000 and e.words.memory.bytes() < empty + 2000
+
+
+def test_remembered_numbers(monkeypatch):
+    """Those of strings that share a key, that are asked for again, and that were forgotten."""
+    calls = []
+
+    def resolve(new):
+        calls.extend(new)
+        return np.array([len(s) for s in new]), np.array([ord(c) for s in new for c in s], dtype=np.int32)
+
+    m = parts.Memory(resolve, np.int32)
+    ask = lambda *s: tuple(x.tolist() for x in m.look(pa.array(s, pa.large_string())))
+    assert ask("ab", "", "c") == ([2, 0, 1], [97, 98, 99]) and ask("c", "d", "ab") == ([1, 1, 2], [99, 100, 97, 98])
+    assert calls == ["ab", "", "c", "d"]
+    monkeypatch.setattr(parts, "hashes", lambda strings: np.zeros(len(strings), dtype=np.uint64))
+    m = parts.Memory(resolve, np.int32)
+    for _ in range(2):
+        assert ask("ab", "x", "c") == ([2, 1, 1], [97, 98, 120, 99])
 
 
 def test_encode_decode(docs, rows, tik):
@@ -123,9 +168,9 @@ def test_kept_ids(docs, tik):
 
 
 def test_plain_texts():
-    distinct, order, ends = words.parts(["a b\nc\n\nd", " x a"])
-    assert [distinct[i] for i in order] == ["\na", "b", "\n\n", "\nc", "\n\n", "\n", "\n\n", "\nd", "\n", "x", "a"] and ends == [8, 11]
-    assert not any(map(words.plain, ["a  b", "a\n b", "a \nb", "a\tb", "a\xa0b", "a\n\n\nb", "a\n\n"])) and words.plain(" a\n") and words.plain("a\n\nb")
+    distinct, order, ends = parts.cut(["a b.\nc\n\nd", " x a"])
+    assert [distinct[i].as_py() for i in order] == ["\na", "b", "\n.", "\n\n", "\nc", "\n\n", "\n", "\n\n", "\nd", "\n", "x", "a"] and ends.tolist() == [9, 12]
+    assert not any(map(parts.plain, ["a  b", "a\n b", "a \nb", "a\tb", "a\xa0b", "a\n\n\nb", "a\n\n"])) and parts.plain(" a\n") and parts.plain("a\n\nb")
 
 
 # --- Simple-8b
@@ -267,16 +312,3 @@ def test_empty_tables(spark, empty, tmp_path):
     assert quality.scores(empty, trees).count() == 0
     tokenfile.write(empty, BPE, f"file://{tmp_path}/ids")
     assert tokenfile.read(spark, f"file://{tmp_path}/ids").count() == 0
-
-
-def test_decoded_bytes_come_from_the_ids(tmp_path, monkeypatch):
-    import base64
-
-    from chartloom.llm import bytebpe
-
-    path = tmp_path / "tokens"
-    path.write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate([*(bytes([i]) for i in range(256)), b"ab"])))
-    v = bytebpe.Vocabulary(str(path), r" ?\S+|\s+")
-    assert list(v.texts(["ab cab", ""])) == [(b"256 32 99 256", b"ab cab"), (b"", b"")]
-    monkeypatch.setattr(v.words, "values", lambda raw: [[b"256", b"97"] for _ in raw])
-    assert list(v.texts(["ab x"])) == [(b"256 97", b"aba")]
