@@ -23,6 +23,13 @@ def _along():
     return W.partitionBy(*AXIS).orderBy("edge", "det_ord")
 
 
+def of_axis(labels: DataFrame, which: str = "both") -> DataFrame:
+    """The labels of the x axis, the y axis or both."""
+    if which not in ("x", "y", "both"):
+        raise ValueError("which must be x, y or both")
+    return labels if which == "both" else labels.where(F.col("axis") == which)
+
+
 def union_readings(passes: dict[str, DataFrame]) -> DataFrame:
     """The candidates of all passes, repeats included; each frame has (image_id, axis, label_ord, cand_ord, text, conf)."""
     parts = [passes[m].select("image_id", "axis", "label_ord", F.lit(m).alias("method"), F.lit(k).alias("method_ord"), "cand_ord", "text", "conf") for k, m in enumerate(METHODS) if m in passes]
@@ -77,17 +84,20 @@ def corrected(labels: DataFrame) -> DataFrame:
     """Values ten times off from the mean of their valid neighbours are mended where the axis is consistent.
 
     Neighbours are read before any repair; the first and last valid label never change. ``corrected`` is
-    true where a value changed, else null.
+    true where a value changed, else null. Valid labels come first in the window's order, so that neighbours
+    in it are valid ones: one partitioning and one sort serve the neighbours and the axis' median step.
     """
-    valid = labels.where(F.col("value").isNotNull()).select(*AXIS, "edge", "det_ord", "value")
-    around = valid.withColumns({"p": F.lag("value").over(_along()), "q": F.lead("value").over(_along())})
+    along = W.partitionBy(*AXIS).orderBy(F.col("value").isNull(), "edge", "det_ord")
+    around = labels.withColumns({"p": F.lag("value").over(along), "q": F.lead("value").over(along)})
+    every = around.withColumn("steps", F.sort_array(F.collect_list(F.col("value") - F.col("p")).over(W.partitionBy(*AXIS))))
+    n, median = F.size("steps"), F.get("steps", F.floor(F.size("steps") / 2).cast("int"))
+    near = F.size(F.filter("steps", lambda d: F.abs(d - median) < F.abs(median) * F.lit(0.3)))
+    passes = (n >= 2) & (near >= n * F.lit(0.6))
     expected = (F.col("p") + F.col("q")) / 2
-    ratio = F.when(expected != 0, F.col("value") / expected)
-    joined = around.withColumn("ratio", ratio).join(consistency(labels).select(*AXIS, "passes"), list(AXIS), "left")
+    ratio = F.when(passes & (expected != 0), F.col("value") / expected)
     fixed = F.when((F.col("ratio") > 8) & (F.col("ratio") < 12), F.col("value") / 10).when((F.col("ratio") > F.lit(0.08)) & (F.col("ratio") < F.lit(0.12)), F.col("value") * 10)
-    repairs = joined.where("passes").withColumn("fixed", fixed).where(F.col("fixed").isNotNull()).select(*AXIS, "edge", "det_ord", "fixed")
-    out = labels.join(repairs, [*AXIS, "edge", "det_ord"], "left")
-    return out.withColumn("corrected", F.when(F.col("fixed").isNotNull(), F.lit(True))).withColumn("value", F.coalesce("fixed", "value")).drop("fixed")
+    out = every.withColumn("ratio", ratio).withColumn("fixed", fixed)
+    return out.select(*(F.coalesce("fixed", "value").alias(c) if c == "value" else c for c in labels.columns), F.when(F.col("fixed").isNotNull(), F.lit(True)).alias("corrected"))
 
 
 def filled(labels: DataFrame) -> DataFrame:
@@ -106,10 +116,12 @@ def calibration(labels: DataFrame) -> DataFrame:
     """First and last valid label of each axis with two valid labels or more: eight columns, null for an axis without."""
     valid = labels.where(F.col("value").isNotNull()).withColumn("center", center())
     at, who = F.struct("edge", "det_ord"), F.struct("center", "value")
-    ends = valid.groupBy(*AXIS).agg(F.min_by(who, at).alias("a"), F.max_by(who, at).alias("b"), F.count("*").alias("n")).where("n >= 2")
-    pick = lambda axis, end, field: F.max(F.when(F.col("axis") == axis, F.col(f"{end}.{field}")))
-    cols = [pick(axis, end, field).alias(f"{axis}{k}_{name}") for axis in ("x", "y") for k, end in ((1, "a"), (2, "b")) for field, name in (("center", "pixel"), ("value", "value"))]
-    return ends.groupBy("image_id").agg(*cols)
+    on = lambda axis, x: F.when(F.col("axis") == axis, x)
+    found = [f(who, on(axis, at)).alias(f"{axis}{k}") for axis in ("x", "y") for k, f in ((1, F.min_by), (2, F.max_by))]
+    counts = {axis: F.count(on(axis, F.lit(1))).alias(f"n_{axis}") for axis in ("x", "y")}
+    ends = valid.groupBy("image_id").agg(*found, *counts.values()).where("n_x >= 2 OR n_y >= 2")
+    pick = lambda axis, k, field: F.when(F.col(f"n_{axis}") >= 2, F.col(f"{axis}{k}.{field}"))
+    return ends.select("image_id", *(pick(axis, k, field).alias(f"{axis}{k}_{name}") for axis in ("x", "y") for k in (1, 2) for field, name in (("center", "pixel"), ("value", "value"))))
 
 
 def axis_config(calibrations: DataFrame, charts: DataFrame, plot_areas: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Point series: resampling, ranking and summaries, each series and each image on its own.
 
-All windows are by ``(image_id, series_id)`` or ``image_id``, so one hash partitioning by image would serve a
-whole chain. Inputs have the columns of ``RAW_POINTS``.
+All windows and groups are by ``(image_id, series_id)`` or ``image_id``. ``by_image`` partitions raw points by image
+once, and Spark keeps to that partitioning through the whole chain. Inputs have the columns of ``RAW_POINTS``.
 """
 
 from __future__ import annotations
@@ -25,6 +25,11 @@ class Settings:
     max_points: int = 20
 
 
+def by_image(points: DataFrame) -> DataFrame:
+    """Points partitioned by image, which serves all that follows."""
+    return points.repartition("image_id")
+
+
 def _every(points: DataFrame, step: Column) -> DataFrame:
     kept = points.where(F.col("pt_idx") % step == 0)
     return kept.select(*KEYS, F.floor(F.col("pt_idx") / step).cast("int").alias("pt_idx"), "x", "y")
@@ -66,21 +71,20 @@ def arc_length(points: DataFrame, n: int) -> DataFrame:
     if n < 2:
         raise ValueError("two points at least")
     s = segments(points)
-    short = s.where(F.col("n") <= n).select(*KEYS, "pt_idx", "x", "y")
-    still = s.where((F.col("n") > n) & (F.col("total") == 0) & (F.col("pt_idx") == 0)).select(*KEYS, "pt_idx", "x", "y")
+    short, still = F.col("n") <= n, (F.col("total") == 0) & (F.col("pt_idx") == 0)
+    moving = (F.col("total") > 0) & F.col("nx").isNotNull()
     step = F.col("total") / (n - 1)
-    moving = s.where((F.col("n") > n) & (F.col("total") > 0) & F.col("nx").isNotNull())
     last = F.col("pt_idx") == F.col("n") - 2
     low = F.greatest(F.lit(0), F.floor(F.col("lo") / step) - 1)
     high = F.when(last, F.lit(n - 1)).otherwise(F.least(F.lit(n - 1), F.ceil(F.col("hi") / step) + 1))
-    aimed = moving.where(low <= high).withColumn("k", F.explode(F.sequence(low, high)))
+    itself = F.array(F.col("pt_idx").cast("long"))
+    aimed = s.withColumn("k", F.explode(F.when(short | still, itself).when(moving & (low <= high), F.sequence(low.cast("long"), high.cast("long")))))
     aimed = aimed.withColumn("d", F.when(F.col("k") == n - 1, F.col("total")).otherwise(F.col("k") * step))
     begins = F.when(F.col("pt_idx") == 0, F.lit(True)).otherwise(F.col("d") > F.col("lo"))
-    inside = aimed.where(begins & (last | (F.col("d") <= F.col("hi"))))
+    inside = aimed.where(short | still | (begins & (last | (F.col("d") <= F.col("hi")))))
     t = F.when(F.col("hi") == F.col("lo"), F.lit(0.0)).otherwise((F.col("d") - F.col("lo")) / (F.col("hi") - F.col("lo")))
-    at = lambda a, b: half_even(F.col(a) + t * (F.col(b) - F.col(a)))
-    even = inside.select(*KEYS, F.col("k").cast("int").alias("pt_idx"), at("x", "nx").alias("x"), at("y", "ny").alias("y"))
-    return short.unionByName(still).unionByName(even)
+    at = lambda a, b: F.when(short | still, F.col(a)).otherwise(half_even(F.col(a) + t * (F.col(b) - F.col(a))))
+    return inside.select(*KEYS, F.col("k").cast("int").alias("pt_idx"), at("x", "nx").alias("x"), at("y", "ny").alias("y"))
 
 
 def downsample(points: DataFrame, settings: Settings) -> DataFrame:
@@ -100,21 +104,27 @@ def mean_y(points: DataFrame) -> DataFrame:
     return points.groupBy(*KEYS).agg(F.avg(F.col("y").cast("double")).alias("mean_y"), F.count("*").alias("n_points"))
 
 
+def _order(sort_mode: str) -> list[Column]:
+    """Pixels grow downwards, so descending height is ascending mean; ties keep their order."""
+    return [*{"mean_y_desc": [F.col("mean_y").asc()], "mean_y_asc": [F.col("mean_y").desc()]}.get(sort_mode, []), F.col("series_id").asc()]
+
+
 def ranked(means: DataFrame, sort_mode: str) -> DataFrame:
-    """``series_pos`` from 0: pixels grow downwards, so descending height is ascending mean; ties keep their order."""
-    order = {"mean_y_desc": [F.col("mean_y").asc()], "mean_y_asc": [F.col("mean_y").desc()]}.get(sort_mode, [])
-    return means.withColumn("series_pos", (F.row_number().over(W.partitionBy("image_id").orderBy(*order, F.col("series_id").asc())) - 1).cast("int"))
+    """``series_pos`` from 0."""
+    return means.withColumn("series_pos", (F.row_number().over(W.partitionBy("image_id").orderBy(*_order(sort_mode))) - 1).cast("int"))
 
 
 def data_series(points: DataFrame, settings: Settings) -> DataFrame:
     """Resampled points with their series' position: the cheap tail that a change of settings runs again."""
     kept = downsample(points, settings)
-    return kept.join(ranked(mean_y(kept), settings.sort_mode).select(*KEYS, "series_pos"), list(KEYS))
+    means = kept.withColumn("mean_y", F.avg(F.col("y").cast("double")).over(W.partitionBy(*KEYS)))
+    place = F.dense_rank().over(W.partitionBy("image_id").orderBy(*_order(settings.sort_mode))) - 1
+    return means.select(*KEYS, "pt_idx", "x", "y", place.cast("int").alias("series_pos"))
 
 
 def line_summary(points: DataFrame, settings: Settings) -> DataFrame:
     """Per image: lines, points, and points of each line in order."""
-    r = ranked(mean_y(downsample(points, settings)), settings.sort_mode)
+    r = ranked(mean_y(downsample(by_image(points), settings)), settings.sort_mode)
     in_order = F.array_sort(F.collect_list(F.struct("series_pos", "n_points")))
     counts = F.array_join(F.transform(in_order, lambda s: s["n_points"].cast("string")), ", ")
     return r.groupBy("image_id").agg(F.count("*").alias("n_lines"), F.sum("n_points").alias("total_points"), counts.alias("line_points"))
