@@ -33,8 +33,8 @@ def per_class(detections: DataFrame) -> DataFrame:
 
 def best(detections: DataFrame) -> DataFrame:
     """The box of the highest score of each image and class; ties keep the first."""
-    first = W.partitionBy("image_id", "class_id").orderBy(F.col("score").desc(), "det_ord")
-    return detections.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
+    first = F.min_by(F.struct(*detections.columns), F.struct(-F.col("score"), F.col("det_ord")))  # combined before the shuffle
+    return detections.groupBy("image_id", "class_id").agg(first.alias("box")).select("box.*")
 
 
 def center(detections: DataFrame) -> DataFrame:

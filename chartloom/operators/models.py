@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_prefix
@@ -26,3 +26,8 @@ def intact(files: DataFrame, hashes: DataFrame) -> DataFrame:
     """Whether each file's SHA-256 begins as registered; files that are not registered pass."""
     j = files.join(hashes, "file_name", "left")
     return j.select("file_name", hash_prefix(F.col("content")).alias("prefix"), F.coalesce(hash_prefix(F.col("content")) == F.col("sha256_16"), F.lit(True)).alias("passes"))
+
+
+def key_of_choice(choice: Column) -> Column:
+    """The model's key in a choice such as ``finetune:key``: what follows the first colon; null without one."""
+    return F.when(choice.contains(":"), F.regexp_extract(choice, r"(?s)^[^:]*:(.*)$", 1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 import struct
 import tempfile
@@ -89,7 +90,7 @@ def series_mean_y(spark, d):
 
 
 def _ranked(spark, d, mode):
-    means = series.mean_y(series.downsample(a.raw_points(spark, d), SETTINGS))
+    means = series.mean_y(series.downsample(series.by_image(a.raw_points(spark, d)), SETTINGS))
     return series.ranked(means, mode).select("image_id", "series_id", "series_pos")
 
 
@@ -158,23 +159,24 @@ def iou_pairs(spark, d):
     return detect.overlaps(a.raw_detections(spark, d)).withColumn("iou", F.round("iou", 9))
 
 
-def _nms_sql(keys: str, most: int) -> str:
+def _nms_sql(keys: str, most: int, least: str = "", mark: str = "") -> str:
     same = " AND ".join(f"g.{k} = r.{k}" for k in keys.split(", "))
-    a.SQL[f"ranked{len(keys)}"] = f"ranked{len(keys)} AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, det_ord) AS rn FROM det)"
-    a.NEEDS[f"ranked{len(keys)}"] = ["det"]
+    a.SQL[f"ranked{len(keys)}{mark}"] = f"ranked{len(keys)}{mark} AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, det_ord) AS rn FROM det {least})"
+    a.NEEDS[f"ranked{len(keys)}{mark}"] = ["det"]
     inter = "greatest(least(k.x2, g.x2) - greatest(k.x1, g.x1), 0) * greatest(least(k.y2, g.y2) - greatest(k.y1, g.y1), 0)"
-    a.SQL[f"greedy{len(keys)}"] = f"""greedy{len(keys)} AS (
-  SELECT {keys}, rn, [struct_pack(det_ord := det_ord, class_id := class_id, x1 := x1, y1 := y1, x2 := x2, y2 := y2, score := score)] AS kept FROM ranked{len(keys)} WHERE rn = 1
+    name = f"{len(keys)}{mark}"
+    a.SQL[f"greedy{name}"] = f"""greedy{name} AS (
+  SELECT {keys}, rn, [struct_pack(det_ord := det_ord, class_id := class_id, x1 := x1, y1 := y1, x2 := x2, y2 := y2, score := score)] AS kept FROM ranked{name} WHERE rn = 1
   UNION ALL
   SELECT {", ".join(f"r.{k}" for k in keys.split(", "))}, g.rn, CASE WHEN len(list_filter(r.kept, lambda k: {inter} * 1.7e0 > 0.7e0 * ((k.x2 - k.x1) * (k.y2 - k.y1) + (g.x2 - g.x1) * (g.y2 - g.y1)))) > 0 THEN r.kept
     ELSE list_append(r.kept, struct_pack(det_ord := g.det_ord, class_id := g.class_id, x1 := g.x1, y1 := g.y1, x2 := g.x2, y2 := g.y2, score := g.score)) END
-  FROM greedy{len(keys)} r JOIN ranked{len(keys)} g ON {same} AND g.rn = r.rn + 1)"""
-    a.NEEDS[f"greedy{len(keys)}"] = [f"ranked{len(keys)}"]
+  FROM greedy{name} r JOIN ranked{name} g ON {same} AND g.rn = r.rn + 1)"""
+    a.NEEDS[f"greedy{name}"] = [f"ranked{name}"]
     return f"""SELECT {_DET} FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_ord) AS top FROM (
-  SELECT image_id, unnest(kept, recursive := true) FROM (SELECT image_id, arg_max(kept, rn) AS kept FROM greedy{len(keys)} GROUP BY {keys}))) WHERE top <= {most}"""
+  SELECT image_id, unnest(kept, recursive := true) FROM (SELECT image_id, arg_max(kept, rn) AS kept FROM greedy{name} GROUP BY {keys}))) WHERE top <= {most}"""
 
 
-_AGNOSTIC, _PER_CLASS = _nms_sql("image_id", 1000), _nms_sql("image_id, class_id", 100)
+_AGNOSTIC, _PER_CLASS, _SCORED = _nms_sql("image_id", 1000), _nms_sql("image_id, class_id", 100), _nms_sql("image_id, class_id", 200, "WHERE score > 0.3e0", "s")
 
 
 @query("greedy8", _AGNOSTIC)
@@ -182,6 +184,11 @@ def nms_agnostic(spark, d):
     return detect.nms(a.raw_detections(spark, d), most=1000).select(*_DET.split(", "))
 
 
+@query("greedy18s", _SCORED)
+def nms_scored(spark, d):
+    return detect.batched_nms(a.raw_detections(spark, d), score=0.3).select(*_DET.split(", "))
+
+
 @query("greedy18", _PER_CLASS)
 def nms_per_class(spark, d):
     return detect.batched_nms(a.raw_detections(spark, d), most=100).select(*_DET.split(", "))
@@ -240,6 +247,11 @@ def ocr_labels(spark, d):
     return labels.ordered(found).select("image_id", "axis", "label_ord", "value", "pos")
 
 
+@query("lab", "SELECT image_id, axis, det_ord, value FROM lab WHERE axis = 'y'")
+def axis_subset(spark, d):
+    return labels.of_axis(a.axis_labels(spark, d), "y").select("image_id", "axis", "det_ord", "value")
+
+
 @query("steps", "SELECT * FROM steps")
 def axis_steps(spark, d):
     return labels.steps(a.axis_labels(spark, d))
@@ -314,7 +326,7 @@ def ext_pixel_to_value(spark, d):
 
 
 def _documents(spark, d):
-    nested = series.nested(series.data_series(a.raw_points(spark, d), SETTINGS))
+    nested = series.nested(series.data_series(series.by_image(a.raw_points(spark, d)), SETTINGS))
     return documents.with_axes(nested, a.charts(spark, d), _config(spark, d))
 
 
@@ -369,12 +381,37 @@ def project_b_calibration(spark, d):
 TIMESTAMP = "2024-01-01T00:00:00.000Z"
 
 
-@query()
+def _document_sql(kind: str) -> str:
+    """The same documents put together from structs and lists."""
+    corner = {"x1": ("0", "height", "0"), "x2": ("width", "height", "100"), "y1": ("0", "height", "0"), "y2": ("0", "0", "100")}
+    either = lambda k, field, default: f"CASE WHEN has_axes THEN {k}_{field} ELSE {default}::DOUBLE END"
+    if kind == "a":
+        point = lambda k: f"{k} := struct_pack(name := '{k}', value := {either(k, 'val', corner[k][2])}, coord := struct_pack(xPx := {either(k, 'px', corner[k][0])}, yPx := {either(k, 'py', corner[k][1])}))"
+        axes = f"struct_pack(id := 1, name := 'XY Axes 1', {', '.join(map(point, corner))}, xIsLogScale := coalesce(x_is_log, false), yIsLogScale := coalesce(y_is_log, false), considerGraphTilt := false, pointMode := 0, isVisible := true)"
+        line = """struct_pack(id := series_pos + 2, name := 'Line ' || (series_pos + 1), axisSetId := 1, points := list(struct_pack(id := pt_idx + 1, xPx := x::DOUBLE, yPx := y::DOUBLE) ORDER BY pt_idx),
+    visiblePointIds := list(pt_idx + 1 ORDER BY pt_idx), manuallyAddedPointIds := []::INT[])"""
+        none = "struct_pack(id := 1, name := 'dataset 1', axisSetId := 1, points := []::STRUCT(id INT, xPx DOUBLE, yPx DOUBLE)[], visiblePointIds := []::INT[], manuallyAddedPointIds := []::INT[])"
+        doc = f"struct_pack(version := '1.11.2', timestamp := '{TIMESTAMP}', axisSets := [{axes}], activeAxisSetId := 1, datasets := datasets, activeDatasetId := len(datasets), canvasHandler := struct_pack(scale := 1::DOUBLE, manualMode := 0))"
+    else:
+        value = lambda k: f"CASE WHEN has_axes THEN {k}_val::VARCHAR ELSE '{corner[k][2]}' END"
+        point = lambda k, dx, dy: f"struct_pack(px := {either(k, 'px', corner[k][0])}, py := {either(k, 'py', corner[k][1])}, dx := {value(dx)}, dy := {value(dy)}, dz := NULL)"
+        points = ", ".join(point(*p) for p in (("x1", "x1", "y1"), ("x2", "x2", "y1"), ("y1", "x1", "y1"), ("y2", "x1", "y2")))
+        axes = f"struct_pack(name := 'XY', type := 'XYAxes', isLogX := coalesce(x_is_log, false), isLogY := coalesce(y_is_log, false), noRotation := false, calibrationPoints := [{points}])"
+        line = """struct_pack(name := 'Dataset ' || (series_pos + 1), axesName := 'XY', colorRGB := [200, 0, 0, 255], metadataKeys := []::VARCHAR[],
+    data := list(struct_pack(x := x::DOUBLE, y := y::DOUBLE, value := NULL::DOUBLE) ORDER BY pt_idx), autoDetectionData := NULL::VARCHAR)"""
+        none = "struct_pack(name := 'Default Dataset', axesName := 'XY', colorRGB := [200, 0, 0, 255], metadataKeys := []::VARCHAR[], data := []::STRUCT(x DOUBLE, y DOUBLE, value DOUBLE)[], autoDetectionData := NULL::VARCHAR)"
+        doc = f"struct_pack(version := [4, 2], axesColl := [{axes}], datasetColl := datasets, measurementColl := []::VARCHAR[])"
+    return f"""SELECT i.image_id, to_json({doc})::VARCHAR AS document FROM img i JOIN (
+  SELECT image_id, list_prepend({none}, list(line ORDER BY series_pos)) AS datasets FROM (
+    SELECT image_id, series_pos, {line} AS line FROM dp GROUP BY image_id, series_pos) GROUP BY image_id) l ON l.image_id = i.image_id"""
+
+
+@query("img dp", _document_sql("a"))
 def project_a_json(spark, d):
     return documents.document_a(_documents(spark, d), TIMESTAMP)
 
 
-@query()
+@query("img dp", _document_sql("b"))
 def project_b_json(spark, d):
     return documents.document_b(_documents(spark, d))
 
@@ -440,6 +477,12 @@ def model_checkpoint(spark, d):
     return models.checkpoint(keys, a.models(spark, d)).select("n_name", "model_key", "name", "checkpoint")
 
 
+@query("models", "SELECT model_key, 'finetune:' || model_key AS choice FROM models")
+def model_choice(spark, d):
+    chosen = a.models(spark, d).select(F.concat(F.lit("finetune:"), "model_key").alias("choice"))
+    return chosen.select(models.key_of_choice(F.col("choice")).alias("model_key"), "choice")
+
+
 @query(
     "files",
     """SELECT f.file_name, left(sha256(f.content), 16) AS prefix, coalesce(left(sha256(f.content), 16) = h.h, true) AS passes FROM files f
@@ -461,6 +504,16 @@ def file_stem(spark, d):
     return a.table(spark, d, "pages").select("page_id", images.stem(F.col("url")).alias("stem"))
 
 
+@query("", r"SELECT event_id, strftime(ts, 'sd-%Y%m%d-%H%M%S.zip') AS zip_name, strftime(ts, 'wpd-%Y%m%d-%H%M%S.tar') AS tar_name FROM events")
+def archive_names(spark, d):
+    return a.table(spark, d, "events").select("event_id", *(archives.archive_name(F.col("ts"), kind).alias(f"{kind}_name") for kind in ("zip", "tar")))
+
+
+@query("", r"SELECT page_id, regexp_extract(url, '([^/]*?)(\.[^./]*)?$', 1) || '_result.png' AS name FROM pages")
+def result_names(spark, d):
+    return a.table(spark, d, "pages").select("page_id", images.result_name(F.col("url")).alias("name"))
+
+
 @query("", "SELECT event_id, strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso FROM events")
 def iso_millis(spark, d):
     return a.table(spark, d, "events").select("event_id", scalars.iso_millis(F.col("ts")).alias("iso"))
@@ -477,36 +530,55 @@ def png(height: int, width: int) -> bytes:
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.removeprefix('file://').removeprefix('file:').rstrip('/')}/archives-{uuid.uuid4().hex}"
+    """A new folder that all executors see; only on one machine may it be a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.gettempdir()
+    return f"{archives.local_path(base).rstrip('/')}/archives-{uuid.uuid4().hex}"
+
+
+_IMAGE = png(8, 12)
 
 
 def _export(spark, d, kind):
+    """Archives of all images with a series, read back entry by entry."""
     images_of = documents.exportable(_documents(spark, d))
     docs = documents.document_a(images_of, TIMESTAMP) if kind == "zip" else documents.document_b(images_of)
-    image = F.unbase64(F.lit(base64.b64encode(png(8, 12)).decode()))
-    projects = docs.select("image_id", F.lit("project").alias("name"), image.alias("image"), "document")
-    manifest = archives.write(projects, _folder(spark), kind)
-    return manifest.select(images.stem(F.col("path")).alias("name"), "length")
+    image = F.unbase64(F.lit(base64.b64encode(_IMAGE).decode()))
+    projects = docs.select("image_id", F.concat(F.lit("chart-"), "image_id").alias("name"), image.alias("image"), "document")
+    return archives.entries(archives.write(projects, _folder(spark), kind), kind)
+
+
+def _entries_sql(document: str, entries: dict[str, str]) -> str:
+    """``entries``: names, with # for the archive's, and SQL for their digests; JSON counts without its spaces."""
+    each = ", ".join(f"struct_pack(entry := '{name}', digest := {digest})" for name, digest in entries.items())
+    return f"SELECT name, replace(e.entry, '#', name) AS entry, e.digest AS digest FROM (SELECT 'chart-' || image_id AS name, unnest([{each}]) AS e FROM ({document}))"
+
+
+_PICTURE = f"'{hashlib.sha256(_IMAGE).hexdigest()}'"
+_INFO = "sha256('{\"version\":[4,0],\"json\":\"wpd.json\",\"images\":[\"image.png\"]}')"
 
 
-@query()
+@query("img dp", _entries_sql(_document_sql("a"), {"image.png": _PICTURE, "project.json": "sha256(document)"}))
 def export_zip(spark, d):
     return _export(spark, d, "zip")
 
 
-@query()
+@query("img dp", _entries_sql(_document_sql("b"), {"#/": "''", "#/info.json": _INFO, "#/wpd.json": "sha256(document)", "#/image.png": _PICTURE}))
 def export_tar(spark, d):
     return _export(spark, d, "tar")
 
 
-@query()
+@query("", " UNION ALL ".join(f"SELECT 'chart-{k}' AS stem, {len(png(8 + k, 12))}::BIGINT AS length, {8 + k} AS height, 12 AS width" for k in range(3)))
 def scan_images(spark, d):
+    """Three images among other files, one of them broken."""
     folder = _folder(spark)
     os.makedirs(folder)
-    for k in range(3):
-        with open(f"{folder}/chart-{k}.png", "wb") as f:
-            f.write(png(8 + k, 12))
-    scanned = images.scan_images(spark, f"file://{folder}")
+    for name, data in {**{f"chart-{k}.{'png' if k else 'PNG'}": png(8 + k, 12) for k in range(3)}, "broken.png": b"no image", "notes.txt": b"notes"}.items():
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(data)
+    scanned = images.readable(images.scan_images(spark, f"file://{folder}"))
     height, width = images.png_size(F.col("content"))
     return scanned.select("stem", "length", height.alias("height"), width.alias("width"))

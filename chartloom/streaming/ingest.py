@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources import images
+
 
 def image_stream(spark: SparkSession, path: str) -> DataFrame:
     """Image files as they arrive in a folder."""
-    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.{png,jpg,jpeg,bmp,tiff}").load(path)
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", images.GLOB).load(path)
 
 
 def point_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
