@@ -13,7 +13,6 @@ from chartloom.llm import bytebpe, contamination, linededup, quality, queries, s
 from chartloom.llm.common import Scratch
 
 
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is ``quality.THRESHOLD`` or more."""
     return quality.keep_good(docs, queries.table(spark, sf_dir, "labels"))
