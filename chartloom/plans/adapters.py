@@ -86,7 +86,7 @@ SQL = {
     "rp": """rp AS (
   SELECT user_id // 6 AS image_id, user_id AS series_id, idx AS pt_idx, 7 * (idx + 1) AS x, floor(value)::BIGINT AS y
   FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS idx FROM events))""",
-    "det": """det AS (
+    "det": """det AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY x1, y1, x2, y2, score, class_id)::INT AS det_ord FROM (
     SELECT l_orderkey // 32 AS image_id, (l_partkey % 18)::INT AS class_id, (l_partkey % 97)::DOUBLE AS x1, (l_suppkey % 89)::DOUBLE AS y1,
            (l_partkey % 97)::DOUBLE + l_quantity AS x2, (l_suppkey % 89)::DOUBLE + l_quantity / 2 + 5 AS y2, l_discount * 10 AS score FROM lineitem))""",
