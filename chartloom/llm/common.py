@@ -4,6 +4,7 @@ Conventions that every operator of this subpackage follows:
 
 * only the id and text columns that the caller names are read, so further columns of any name are ignored;
 * a null text is an empty text;
+* ids are integers (other types are refused with a TypeError; the least long stands for null);
 * a null id is a document of its own, sorted before all others, and is null again in the result;
 * rows that repeat an id are separate rows; what is decided for an (id, text) holds for each of them.
 """
@@ -18,13 +19,38 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Stands for a null id while rows are keyed; no real id is expected there.
 NULL_ID = -(2**63)
 
 
+def quoted(name: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer until ``df`` has no column like them."""
+    out, taken = [], {c.lower() for c in df.columns}
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name)
+    return out
+
+
+def hash_of(df: DataFrame, text_col: str) -> Column:
+    """What tells apart rows that share an id but not a text."""
+    return F.xxhash64(F.coalesce(df[text_col].cast("binary"), F.lit(b"")))
+
+
 def key_of(df: DataFrame, id_col: str) -> Column:
-    """The id as a long that is never null."""
+    """The id as a long that is never null; ids must be integers."""
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{id_col} is {kind.simpleString()}; ids must be integers")
     return F.coalesce(df[id_col].cast("long"), F.lit(NULL_ID))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, id_of, keyed, partitions, record, slices
+from .common import Scratch, hash_of, id_of, key_of, keyed, partitions, quoted, record, slices, unused
 
 LEAST = 10
 FIELDS = ("kind", "h1", "h2", "id", "th", "pos")
@@ -157,11 +157,12 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """``docs``, all columns, with the dropped lines cut from ``text_col``; a null text stays null."""
-    drops = dropped_lines(docs, id_col, text_col, least).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("drops").alias("__drops"))
-    key, th = F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63))), F.xxhash64(F.coalesce(docs[text_col].cast("binary"), F.lit(b"")))
-    joined = docs.join(drops, (key == F.col("__id")) & (th == F.col("__th")), "left")
-    kept = _without(F.col(text_col).cast("binary"), F.col("__drops")).cast("string")
-    return joined.select(*(F.when(F.col("__drops").isNull(), F.col(text_col)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    names = unused(docs, "id", "th", "drops")
+    drops = dropped_lines(docs, id_col, text_col, least).toDF(*names)
+    joined = docs.withColumns({names[0]: key_of(docs, id_col), names[1]: hash_of(docs, text_col)}).join(drops, names[:2], "left")
+    text, gone = quoted(text_col), F.col(names[2])
+    kept = F.when(gone.isNull(), text).otherwise(_without(text.cast("binary"), gone).cast("string")).alias(text_col)
+    return joined.select(*(kept if c == text_col else quoted(c) for c in docs.columns))
 
 
 @F.pandas_udf(T.BinaryType())
