@@ -5,11 +5,14 @@ fingerprint are collapsed first, so a group of copies costs one row. To find fin
 most ``distance`` bits, each is cut into ``segments`` parts: at least one part differs in at most
 ``distance // segments`` bits. Every fingerprint is therefore stored once per part and probes with the
 small Hamming ball around each of its parts; whole distances are verified inside the join, so its output
-is links, not candidates.
+is links, not candidates. A task passes on those of its links that join what it has not seen joined yet, so a
+cluster of near copies costs a number of links that grows with its fingerprints, not with their pairs.
 
 Edge cases: a null or empty text has no shingle and fingerprint zero, linked like any other; fewer words
 than a shingle make one shingle of all words; repeated rows share a fingerprint. A null id takes part and
-stays null; a component's id is its least id that is not null. An empty table gives an empty result.
+stays null; a component's id is its least id that is not null. An empty table gives an empty result. Texts of
+any length are read whole, their shingles in runs of bounded length. Ties do not arise: a bit with exactly half
+of the shingles is not set, and a group's first row by (id, hash of the text) is the one that ``keep_one`` keeps.
 """
 
 from __future__ import annotations
@@ -24,12 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_of, record, signed, texts
+from .common import NULL_ID, Scratch, hash_of, id_of, key_of, keyed, quoted, record, signed, unused
 from .components import components
 
 SHINGLE, SEED, DISTANCE, SEGMENTS = 3, 42, 3, 2
 #: Shingles whose bits are held at once; longer texts are summed in runs of this many.
 RUN = 1 << 16
+#: Fingerprints that a task remembers while it passes on links; parts of a hot (id, text).
+NODES, SALTS = 1 << 18, 64
 
 
 def fingerprint(text: bytes, n: int = SHINGLE, seed: int = SEED) -> int:
@@ -46,14 +51,14 @@ def fingerprint(text: bytes, n: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
-    """``(id, fp)`` of every row; ``fp`` is the fingerprint as a signed long."""
+    """``(id, th, fp)`` of every row; ``fp`` is the fingerprint as a signed long."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = pa.array([signed(fingerprint(t.as_py(), n)) for t in b.column(1)], pa.int64())
-            yield record(("id", "fp"), b.column(0), fps)
+            yield record(("id", "th", "fp"), b.column(0), b.column(2), fps)
 
-    return texts(docs, id_col, text_col).mapInArrow(work, "id long, fp long")
+    return keyed(docs, id_col, text_col).mapInArrow(work, "id long, th long, fp long")
 
 
 def ball(width: int, radius: int) -> list[int]:
@@ -81,27 +86,65 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) ->
     return probing.join(stored, (probing.segment == stored.segment) & (probing.part == stored.part) & (F.col("u") < F.col("v")) & near).select("u", "v")
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join what the links before them left apart: they connect the same nodes as all links."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while (up := parent[x]) != top:
+            parent[x], x = top, up
+        return top
+
+    for b in batches:
+        keep = []
+        for u, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            a, z = root(u), root(v)
+            keep.append(a != z)
+            parent[a] = z
+        yield b.filter(pa.array(keep, pa.bool_()))
+        if len(parent) > NODES:  # passing on more links than needed does no harm
+            parent.clear()
+
+
+def _grouped(rows: DataFrame, scratch: Scratch, distance: int, segments: int) -> DataFrame:
+    """``(fp, component_id, root)`` of each fingerprint."""
+    classes = scratch.put(rows.groupBy("fp").agg(F.min(id_of()).alias("least")), "classes")
+    linked = scratch.put(links(classes.select("fp"), distance, segments).mapInArrow(_forest, "u long, v long"), "links")
+    member = classes.join(components(linked, scratch), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    of_root = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    return scratch.put(member.join(of_root, "root").select("fp", "component_id", "root"), "components")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
     """``(id, fp, component_id)`` of every row: the least id reachable over links between fingerprints."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.put(fingerprints(docs, id_col, text_col, n), "rows")
-    classes = scratch.put(rows.groupBy("fp").agg(F.min(F.when(id_is_real(), F.col("id"))).alias("least")), "classes")
-    linked = scratch.put(links(classes.select("fp"), distance, segments), "links")
-    roots = components(linked, scratch)
-    member = classes.join(roots, classes.fp == roots.node).select("fp", "least", "root")
-    of_root = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    joined = member.join(of_root, "root").select("fp", "component_id")
-    alone = classes.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    table = scratch.put(alone, "components")
-    return rows.join(table, "fp").select(id_of().alias("id"), "fp", "component_id")
+    rows = scratch.put(fingerprints(docs, id_col, text_col, n).drop("th"), "rows")
+    return rows.join(_grouped(rows, scratch, distance, segments), "fp").select(id_of().alias("id"), "fp", "component_id")
 
 
-def id_is_real():
-    return F.col("id") != F.lit(-(2**63))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """One row of ``docs``, all columns, of each group of near-duplicates: that of the least id.
 
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is its component's least; rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.where("id <> component_id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    A row without an id is kept only where its group has no other. Of rows that share id and text any one may stay.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rows = scratch.put(fingerprints(docs, id_col, text_col, n), "rows")
+    group = _grouped(rows, scratch, distance, segments).select("fp", "root")
+    distinct = rows.groupBy("fp", "id", "th").agg(F.count("*").alias("n"))
+    first = F.min(F.struct((F.col("id") == F.lit(NULL_ID)).alias("unnamed"), "id", "th", "n")).alias("first")
+    kept = scratch.put(distinct.join(group, "fp").groupBy("root").agg(first).select("first.*"), "kept")
+    names = unused(docs, "id", "th", "salt")
+    keyed_docs = docs.withColumns({names[0]: key_of(docs, id_col), names[1]: hash_of(docs, text_col)})
+    out = keyed_docs.join(kept.where("n = 1").select(F.col("id").alias(names[0]), F.col("th").alias(names[1])), names[:2], "left_semi").select(*map(quoted, docs.columns))
+    again = kept.where("n > 1")
+    if again.isEmpty():
+        return out
+    # copies under one id, however many, are dealt by their place in the input before one of them is taken
+    dealt = keyed_docs.withColumn(names[2], F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    salted = again.select(F.col("id").alias(names[0]), F.col("th").alias(names[1]), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(names[2]))
+    row = F.struct(*map(quoted, docs.columns)).alias("row")
+    few = dealt.join(salted, names, "left_semi").groupBy(*names).agg(F.first(row).alias("row"))
+    return out.unionByName(few.groupBy(*names[:2]).agg(F.first("row").alias("row")).select("row.*"))
