@@ -9,7 +9,7 @@ import public_tokenizers as P
 import corpus_pipeline
 from chartloom.llm import quality
 
-from .test_corpus_operators import loop_components, loop_fingerprint, loop_lines, loop_pairs
+from .test_corpus_operators import loop_keep_one, loop_lines, loop_pairs
 
 DIR = "/root/testdata/sf0.001"
 
@@ -50,8 +50,7 @@ def test_line_stage(stages):
 
 def test_near_duplicate_stage(stages):
     rows = pairs(stages[2])
-    least = loop_components([loop_fingerprint(t) for _, t in rows], [d for d, _ in rows])
-    assert pairs(stages[3]) == [(d, t) for (d, t), c in zip(rows, least, strict=True) if d == c]
+    assert pairs(stages[3]) == loop_keep_one(rows)
 
 
 def test_decontamination_stage(spark, stages):
