@@ -1,13 +1,15 @@
 """Personal data replaced by keyed surrogates, by DataFrame functions only.
 
 Entities are found by one pattern of named kinds: e-mail addresses, IPv4 addresses, telephone and card
-numbers, access keys, secrets in quotes or after a word such as password (of any length, dots inside and padding included), and persons after a title. Each distinct entity gets a surrogate that
+numbers, access keys, secrets in quotes or after a word such as password (of any length, dots inside and padding
+included), and persons after a title, in capitals too. Each distinct entity gets a surrogate that
 keeps its kind, script and format: digits become digits and letters letters of the same case and script, a
 number keeps its separators and leading group, an address stays valid and keeps its part counts, a person's
 given name is drawn from names of the same script and of the gender that the titles before it tell, of neither
 where they tell none or both. A name found after a title is replaced wherever its document spells it alike.
 
-Surrogates come from a secret key: a keyed SHA-256 of kind, canonical form and attempt feeds the characters.
+Surrogates come from a secret key, which the caller gives or the session holds as ``spark.chartloom.surrogates.key``;
+without either, one is drawn for this call alone, so that nobody can rebuild its mapping. A keyed SHA-256 of kind, canonical form and attempt feeds the characters.
 An entity's canonical form drops case and separators, so all its spellings in all documents get the same
 surrogate, written in each spelling's own format (coreference). Collision checks keep entities apart
 (distinctness): attempts are made in rounds over the distinct entities, and a round's surrogate stands only
@@ -21,28 +23,35 @@ to the checks. Mentions find their surrogates by a join of two plain exchanges,
 adaptive execution splits at a hot entity.
 
 Edge cases: null and empty texts pass as they are. Null ids take part and stay null. Repeated rows are
-replaced alike. An empty table gives an empty result.
+replaced alike. An empty table gives an empty result. Texts are searched whole, in time that grows in
+proportion to their length, also where they have no space: what may begin an address is tried once a run. Where
+kinds tie, the first in ``KINDS`` has the mention; where entities draw the same surrogate, the first by canonical
+form has it.
 """
 
 from __future__ import annotations
 
+import secrets
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_of, key_of
+from .common import Scratch, id_of, key_of, partitions
 
 #: Attempts to draw a surrogate that is neither taken nor an entity before the unused ones are listed, and attempts at longer ones.
 ROUNDS, LONGER = 4, 64
-KEY = "chartloom"
+KEY_SETTING = "spark.chartloom.surrogates.key"
 
 _MEN, _WOMEN = "Mr|Herr|Monsieur|Señor|Sr|Signor", "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Signora"
 TITLE = rf"\b(?:{_MEN}|{_WOMEN}|Dr|Prof)\b\.?"
-_NAME = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}\p{Ll}+)?"
+_GAP = r"[ \u00A0]"
+_NAME = r"(?:\p{Lu}['’])?\p{Lu}(?:[\p{Lu}'’]+(?:-\p{Lu}+){0,3}(?!\p{L})|[\p{Ll}'’]+(?:\p{Lu}\p{Ll}+){0,3}(?:-\p{Lu}\p{Ll}+){0,3})"
+#: What the part of an address before @ is made of; behind it stand 127 names at most, as in any address. A search begins where such a run does, or where the last mention ended.
+_LOCAL = r"[\p{L}0-9._%+-]"
 #: Kinds of entities in the order in which a place is tried; a mention is of the first kind that matches all of it.
 KINDS = {
-    "email": r"[\p{L}0-9._%+-]+@[\p{L}0-9-]+(?:\.[\p{L}0-9-]+)*\.\p{L}{2,}",
+    "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[\p{{L}}0-9-]+(?:\.[\p{{L}}0-9-]+){{0,125}}\.\p{{L}}{{2,}}",
     "access": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,}\b",
     "secret": r"(?<=[\"'])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?=[\"'])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
@@ -51,7 +60,7 @@ KINDS = {
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]*\d)",
     "card": r"(?<![\d.-])\d{4}(?:[ -]?\d){9,15}(?![\d-])",
     "password": r"(?<=[=: \"'])(?=[A-Za-z0-9+/_.-]*\d)(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key) {0,2}[=:] {0,2}[\"']?)[A-Za-z0-9+/_.-]{7,}[A-Za-z0-9+/_-]={0,2}",
-    "person": rf"{TITLE} {_NAME}(?: {_NAME})?",
+    "person": rf"{TITLE}{_GAP}{_NAME}(?:{_GAP}{_NAME})?",
 }
 #: Patterns of mentions by themselves, where the kind's own looks around it.
 ALONE = {"secret": r"[0-9a-f]{32,}|[0-9A-F]{32,}", "password": r"[A-Za-z0-9+/_.-]{7,}[A-Za-z0-9+/_-]={0,2}"}
@@ -94,14 +103,15 @@ def parts_of(mention: Column, kind: Column) -> Column:
     def part(kind: Column, canonical: Column, spelling: Column, gender: Column | None = None) -> Column:
         return F.struct(kind.alias("kind"), canonical.alias("canonical"), spelling.alias("spelling"), (F.lit(None).cast("string") if gender is None else gender).alias("gender"))
 
-    title = F.regexp_extract(mention, f"^({TITLE} )", 1)
-    names = F.split(F.substring(mention, F.length(title) + 1, F.length(mention)), " ")
+    title = F.regexp_extract(mention, f"^({TITLE}{_GAP})", 1)
+    rest = F.substring(mention, F.length(title) + 1, F.length(mention))
+    names, gap = F.split(rest, _GAP), F.regexp_extract(rest, f"({_GAP})", 1)
     gender = F.when(F.regexp_like(title, F.lit(rf"^(?:{_MEN})\b")), "m").when(F.regexp_like(title, F.lit(rf"^(?:{_WOMEN})\b")), "f")
     script = lambda c: reduce(lambda out, s: out.when(F.regexp_like(c, F.lit(rf"\p{{Is{s.title()}}}")), s), list(SYLLABLES)[1:], F.when(F.lit(False), "")).otherwise("latin")
     named = lambda c, sort, gender=None: part(F.concat(F.lit(f"name-{sort}-"), script(c)), F.lower(c), c, gender)
     last = F.element_at(names, -1)
     titled = part(F.lit("title"), F.lit(""), title)
-    person = F.when(F.size(names) > 1, F.array(titled, named(names[0], "g", gender), part(F.lit("title"), F.lit(""), F.lit(" ")), named(last, "s"))).otherwise(F.array(titled, named(last, "s")))
+    person = F.when(F.size(names) > 1, F.array(titled, named(names[0], "g", gender), part(F.lit("title"), F.lit(""), gap), named(last, "s"))).otherwise(F.array(titled, named(last, "s")))
     canonical = F.when(kind.isin("phone", "card", "social", "iban"), F.lower(F.regexp_replace(mention, r"[^\p{L}0-9+]", ""))).when(kind == "email", F.lower(mention)).otherwise(mention)
     return F.when(kind == "person", person).otherwise(F.array(part(kind, canonical, mention)))
 
@@ -229,7 +239,7 @@ def _ungendered(kind: Column) -> Column:
     return F.regexp_replace(kind, "^name-[mfn]-", "name-g-")
 
 
-def mapping(entities: DataFrame, scratch: Scratch, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
+def mapping(entities: DataFrame, scratch: Scratch, key: str, rounds: int = ROUNDS) -> DataFrame:
     """``(kind, canonical, surrogate)``, one-to-one within a kind, no surrogate an entity of that kind; given names of all genders are one kind."""
     done, left, step = None, entities, 0
     apart = _ungendered(F.col("kind")).alias("kind")
@@ -246,8 +256,9 @@ def mapping(entities: DataFrame, scratch: Scratch, key: str = KEY, rounds: int =
         step += 1
         return not stands.isEmpty()
 
+    dealt = lambda: left.repartition(partitions(left.sparkSession), "kind", "canonical")  # noqa: E731  few bytes, but much work
     for r in range(rounds):
-        settle(_drawn(left, r, key))
+        settle(_drawn(dealt(), r, key))
         if left.isEmpty():
             return done
     while settle(_dealt(left, taken, key)):  # formats may share spellings, so a pass can leave some
@@ -255,14 +266,20 @@ def mapping(entities: DataFrame, scratch: Scratch, key: str = KEY, rounds: int =
     for by in range(1, LONGER + 1):
         if left.isEmpty():
             return done
-        settle(_drawn(left, rounds + by - 1, key, by))
+        settle(_drawn(dealt(), rounds + by - 1, key, by))
     if not left.isEmpty():
         raise ValueError("no surrogate is left for some entities")
     return done
 
 
-def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
+def key_of_session(spark: SparkSession) -> str:
+    """The session's key, or one for this time only."""
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
+
+
+def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
     """``(id, text, n_entities)`` of every row, entities replaced."""
+    key = key or key_of_session(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "surrogates")
     th = F.xxhash64(F.coalesce(docs[text_col].cast("binary"), F.lit(b"")))
     rows = docs.select(key_of(docs, id_col).alias("id"), th.alias("th"), docs[text_col].cast("string").alias("text"))
