@@ -530,13 +530,16 @@ def png(height: int, width: int) -> bytes:
 
 
 def _folder(spark) -> str:
-    """A new folder that all executors see; only on one machine may it be a temporary one."""
+    """A new folder that all executors see, deleted with the session; only on one machine may it be a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.gettempdir()
-    return f"{archives.local_path(base).rstrip('/')}/archives-{uuid.uuid4().hex}"
+    folder = f"{archives.local_path(base).rstrip('/')}/archives-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"file://{folder}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 _IMAGE = png(8, 12)
