@@ -18,6 +18,7 @@ from ..functions import scalars
 from ..operators import detect, documents, labels, models, overlay, series
 from ..sources import archives, images
 from ..sources.schema import CLASSES
+from ..streaming import ingest
 from . import adapters as a
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -519,6 +520,25 @@ def iso_millis(spark, d):
     return a.table(spark, d, "events").select("event_id", scalars.iso_millis(F.col("ts")).alias("iso"))
 
 
+# --- streams
+
+
+@query(
+    "",
+    """SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS start, user_id // 6 AS image_id, user_id AS series_id, count(*) AS n_points, round(avg(floor(value)), 9) AS mean_y
+FROM events GROUP BY ALL""",
+)
+def stream_windows(spark, d):
+    """Events read as a stream of files, counted by event time."""
+    kinds = a.table(spark, d, "events").schema
+    events = ingest.point_stream(spark, d, kinds, "events.parquet")
+    points = events.select(F.col("ts").cast("timestamp").alias("ts"), F.floor(F.col("user_id") / 6).alias("image_id"), F.col("user_id").alias("series_id"), F.floor("value").alias("y"))
+    folder = f"file://{_folder(spark)}"
+    ingest.latest(ingest.windowed_counts(points), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    found = spark.read.parquet(f"{folder}/out")
+    return found.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "image_id", "series_id", "n_points", F.round("mean_y", 9).alias("mean_y"))
+
+
 # --- sources and sinks
 
 
