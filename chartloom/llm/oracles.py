@@ -69,7 +69,7 @@ SELECT b.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_s
 FROM b LEFT JOIN cut c ON b.doc_id = c.doc_id
 """
 
-_OVER = " OR ".join(f"d{k} > {most!r}e0 * word_chars" for k, most in repetition.NGRAMS.items())
+_OVER = " OR ".join(f"d{k} > least({most!r}e0, {repetition.USUAL[k]!r}e0 + {repetition.ONE_LINE}e0 / greatest(n_words, 1)) * word_chars" for k, most in repetition.NGRAMS.items())
 _COVERED = "\n".join(
     f""", g{k} AS (
   SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, gram ORDER BY i) > 1 AS again FROM (

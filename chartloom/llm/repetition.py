@@ -10,7 +10,7 @@ Each text is judged alone where it lies, so nothing is shuffled.
 
 Edge cases: a null or empty text, or one without a word, has all figures 0; it fails the base rule and is
 not kept. Null ids stay null, repeated rows are judged alike, an empty table gives an empty result. Lines
-without a word are not counted.
+without a word are not counted. Texts of any length are judged whole, in memory that grows with their length.
 """
 
 from __future__ import annotations
@@ -23,9 +23,12 @@ from pyspark.sql import DataFrame
 
 from .common import id_of, record, slices, texts
 
-#: The most that a kept text may have in repeated n-grams, by words in them, and in repeated lines: share of lines, share of characters.
-#: Short clean texts that say one line twice reach a quarter of their characters, so the limits lie above that.
+#: The most that a kept text may have in repeated n-grams, by words in them: a share that is usual for long texts, and
+#: ``ONE_LINE`` words more, since short clean texts that say one line twice reach a quarter of their characters, up to
+#: a share that no text may exceed. Then the most in repeated lines: share of lines, share of characters.
+USUAL = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 NGRAMS = {5: 0.40, 6: 0.38, 7: 0.36, 8: 0.34, 9: 0.32, 10: 0.30}
+ONE_LINE = 20
 LINES, LINE_CHARS = 0.50, 0.30
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
@@ -100,11 +103,16 @@ def measure(text: bytes) -> dict:
     return out
 
 
+def limit(k: int, n_words: int) -> float:
+    """The share of characters that repeated windows of ``k`` words may hold in a text of ``n_words``."""
+    return min(NGRAMS[k], USUAL[k] + ONE_LINE / max(n_words, 1))
+
+
 def verdict(m: dict) -> tuple[bool, bool]:
     """``(base_failed, kept)``."""
     base = m["n_words"] < LEAST_WORDS or 100 * m["n_repeat_words"] > MOST_REPEATED * m["n_words"]
     said = m["n_dup_lines"] > LINES * m["n_lines"] or m["dup_line_chars"] > LINE_CHARS * m["word_chars"]
-    return base, not (base or said or any(m[f"dup_{k}"] > most * m["word_chars"] for k, most in NGRAMS.items()))
+    return base, not (base or said or any(m[f"dup_{k}"] > limit(k, m["n_words"]) * m["word_chars"] for k in NGRAMS))
 
 
 INTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "dup_line_chars", *(f"dup_{k}" for k in NGRAMS))
