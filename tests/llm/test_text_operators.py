@@ -236,7 +236,7 @@ def loop_kept(text):
             if g in seen:
                 cover.update(range(i, i + k))
             seen.add(g)
-        fine &= sum(len(ws[i]) for i in cover) <= most * chars
+        fine &= sum(len(ws[i]) for i in cover) <= min(most, repetition.USUAL[k] + 20 / max(n, 1)) * chars
     lines, seen, said = [x for x in text.split("\n") if x.split()], set(), 0
     for x in lines:
         said += sum(map(len, re.findall(r"[^\x20\x09-\x0D]+", x))) if x in seen else 0
@@ -244,6 +244,16 @@ def loop_kept(text):
     return base, bool(fine and dup <= repetition.LINES * len(lines) and said <= repetition.LINE_CHARS * chars)
 
 
+def test_a_passage_said_five_times():
+    """A quarter of a long text goes too far; a line said twice in a short one does not."""
+    words = [f"w{i}" for i in range(2000)]
+    passage = words[:60]
+    text = " ".join(passage + [w for k in range(4) for w in [*words[100 + 190 * k : 290 + 190 * k], *passage]])
+    assert len(text.split()) == 1060 and repetition.verdict(repetition.measure(text.encode())) == (False, False)
+    short = " ".join(words[:48]) + "\n" + " ".join(words[36:48])
+    assert repetition.verdict(repetition.measure(short.encode())) == (False, True)
+
+
 def test_rules(docs, rows):
     got = table_of(repetition.rules(docs), "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     assert got == sorted(((d, *loop_base(t or ""), *loop_kept(t or "")) for d, t in rows), key=repr)
