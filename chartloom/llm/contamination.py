@@ -8,11 +8,12 @@ enough of an item holds one of its signature's shingles at least, however long t
 has no false negatives, and candidates are verified by the shingles themselves, not by hashes.
 
 Items go to the documents in blocks of bounded bytes, one pass over the documents a block; documents are
-never shuffled, and an item that a third of them hold costs one row for each.
+never shuffled, and an item that a third of them hold costs one row for each. With more than one block each
+pass is written before the next begins, so the driver and the workers hold one block at a time.
 
 Edge cases: a null or empty document or item has no shingle and is in no pair. An item of fewer words than
 a shingle is one shingle of all its words. Null ids stay null; repeated rows each have their pairs. Empty
-tables give an empty result.
+tables give an empty result. Texts of any length are searched whole, in memory that grows with their length.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_of, record, slices, texts
+from .common import Scratch, id_of, record, slices, texts
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Bytes of items' texts in a block (an item that is larger is a block of its own), words remembered by a worker.
-BLOCK, WORDS = 8 << 20, 200_000
+#: Bytes of items' texts in a block, words remembered by a worker, bytes of the longest of them.
+BLOCK, WORDS, LONGEST = 8 << 20, 200_000, 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FIELDS = ("id", "item_id", "n_shingles", "n_shared", "containment")
 SCHEMA = "id long, item_id long, n_shingles long, n_shared long, containment double"
@@ -41,9 +42,11 @@ class _Hashes(dict):
     """Hash of each word met."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONGEST:  # so what is held is bounded in bytes, too
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -113,20 +116,25 @@ class Search:
                     yield key, len(shingles), shared
 
 
+def _blocks(spark, items: DataFrame, block: int) -> Iterator:
+    """Broadcasts of (id, text) of all items, about ``block`` bytes each; each goes as the next one comes."""
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-size // block))
+    for k in range(n):
+        chosen = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) if n > 1 else items
+        sent = spark.sparkContext.broadcast([(r.id, bytes(r.text)) for r in chosen.collect()])
+        yield sent, n == 1
+        if n > 1:
+            sent.destroy()
+
+
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = SHINGLE, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """``(id, item_id, n_shingles, n_shared, containment)`` of each item that a document holds."""
     spark = docs.sparkSession
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0, and 1 at most")
-    rows = texts(items, item_col, item_text)
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block))
-    documents = texts(docs, id_col, text_col)
-    out = None
-    for k in range(blocks):
-        chosen = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k) if blocks > 1 else rows
-        held = [(r.id, bytes(r.text)) for r in chosen.collect()]  # about ``block`` bytes
-        sent = spark.sparkContext.broadcast(held)
+    documents, scratch, out = texts(docs, id_col, text_col), Scratch(spark, "contamination"), None
+    for k, (sent, alone) in enumerate(_blocks(spark, texts(items, item_col, item_text), block)):
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             search = Search(sent.value, n, threshold)
@@ -137,6 +145,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
                     yield record(_FIELDS, *cols, pa.array([g[3] / g[2] for g in got], pa.float64()))
 
         part = documents.mapInArrow(work, SCHEMA)
+        part = part if alone else scratch.put(part, f"block-{k}")
         out = part if out is None else out.unionByName(part)
     return out.select(id_of().alias("id"), id_of("item_id").alias("item_id"), *_FIELDS[2:])
 
@@ -144,13 +153,12 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text: str = "text", n: int = SHINGLE, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item."""
     spark = docs.sparkSession
-    rows = texts(items, "item_id", item_text)
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block))
-    for k in range(blocks):
-        chosen = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k) if blocks > 1 else rows
-        sent = spark.sparkContext.broadcast([(r.id, bytes(r.text)) for r in chosen.collect()])
+    scratch = Scratch(spark, "clean")
+    for k, (sent, alone) in enumerate(_blocks(spark, texts(items, "item_id", item_text), block)):
         docs = docs.where(~_holds(sent, n, threshold)(F.coalesce(docs[text_col].cast("binary"), F.lit(b""))))
+        if not alone:
+            docs = scratch.put(docs, f"block-{k}")
+            scratch.drop(f"block-{k - 1}")
     return docs
 
 
