@@ -1,21 +1,22 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries, one connection per worker.
 
-A text is cut by the vocabulary's pattern. Each distinct piece becomes token-position rows, first one row a
-byte; every round joins a word's adjacent rows to the merge table, contracts the word's leftmost pair of
-least rank, and passes a word on as done once no pair joins. Ordered aggregation gives the ids and, by a
-join to the vocabulary, the decoded bytes, which are compared with the piece. A text's decoded bytes are looked
-up from all its ids, put together.
+A text is cut by the vocabulary's pattern, and each match into stretches: a merge makes a token, so none crosses
+a place that no token within the match spans. Each new stretch becomes token-position rows, first one row a
+byte; every round joins a stretch's adjacent rows to the merge table, contracts its leftmost pair of least
+rank, and passes it on as done once no pair joins. The ids of whole texts then go back to DuckDB with their
+positions: a join to the vocabulary and an ordered aggregation give the bytes of all tokens in order, which are
+put together where each text begins and ends.
 
-Rounds are as many as the merges of a batch's longest word, so long words are treated apart: pieces are
-first cut between bytes that no token holds side by side (no merge crosses there), and what is still over
-``LONG`` bytes contracts all places of its least rank at once, leftmost first where they overlap.
+Rounds are as many as the merges of a batch's longest stretch, and each touches all its rows. So stretches of
+over ``LONG`` bytes contract all places of their least rank at once, leftmost first where they overlap.
 
-Workers remember the words they met, so DuckDB sees each of them about once. Texts are worked on in blocks
-of bounded bytes where they lie: nothing is shuffled.
+Workers remember the words and stretches they met, within a bound in bytes, so DuckDB sees each of them about
+once. Texts are worked on in blocks of bounded bytes where they lie: nothing is shuffled.
 
 Edge cases: a null or empty text has no id (the digests are those of empty strings). Special tokens are
 plain text. Malformed UTF-8 is replaced by U+FFFD before encoding. Null ids stay null, repeated rows are
-encoded alike, an empty table gives an empty result.
+encoded alike, an empty table gives an empty result. Ties of rank go to the leftmost pair. A text of any length is
+encoded whole; its ids are decoded a bounded number at a time.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from pyspark.sql import DataFrame
 from .common import id_of, record, slices, texts
 from .parts import MOST, Memory, Runs, Table, Words, blocks, gather, joined, layout, spelt, starts
 
-#: Bytes of words given to DuckDB at once, longest word to contract pair by pair, ids decoded at once.
-BLOCK, LONG, AT_ONCE = 1 << 17, 96, 1 << 19
+#: Bytes of words given to DuckDB at once, longest word to contract pair by pair, ids decoded at once, bytes of texts worked on at once.
+BLOCK, LONG, AT_ONCE, SLICE = 1 << 17, 256, 1 << 18, 4 << 20
 
 #: Positions of a word stay 0, 1, ... A row knows the next row's token; ``pair`` has what the two would make
 #: above its position, so that the least one is the leftmost of least rank.
@@ -219,7 +220,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
         v = vocabulary(path, pattern, most)
         digest = lambda values: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in values], pa.string())
         for whole in batches:
-            for b in slices(whole, 1):
+            for b in slices(whole, 1, SLICE):
                 size, ids, decimals, decoded = v.texts([t.decode("utf-8", "replace") for t in b.column(1).to_pylist()])
                 cols = [pa.array(size), digest(decimals), digest(decoded)]
                 if keep:
