@@ -94,8 +94,9 @@ def corrected(labels: DataFrame) -> DataFrame:
     near = F.size(F.filter("steps", lambda d: F.abs(d - median) < F.abs(median) * F.lit(0.3)))
     passes = (n >= 2) & (near >= n * F.lit(0.6))
     expected = (F.col("p") + F.col("q")) / 2
-    ratio = F.when(passes & (expected != 0), F.col("value") / expected)
-    fixed = F.when((F.col("ratio") > 8) & (F.col("ratio") < 12), F.col("value") / 10).when((F.col("ratio") > F.lit(0.08)) & (F.col("ratio") < F.lit(0.12)), F.col("value") * 10)
+    ratio = F.when(expected != 0, F.col("value") / expected)
+    tenfold, tenth = (F.col("ratio") > 8) & (F.col("ratio") < 12), (F.col("ratio") > F.lit(0.08)) & (F.col("ratio") < F.lit(0.12))
+    fixed = F.when((tenfold | tenth) & passes, F.when(tenfold, F.col("value") / 10).otherwise(F.col("value") * 10))  # the axis is judged for few labels only
     out = every.withColumn("ratio", ratio).withColumn("fixed", fixed)
     return out.select(*(F.coalesce("fixed", "value").alias(c) if c == "value" else c for c in labels.columns), F.when(F.col("fixed").isNotNull(), F.lit(True)).alias("corrected"))
 
